@@ -82,6 +82,7 @@ class Words:
         self.row = np.searchsorted(self.offsets, self.start, side="right") - 1
         self.first = np.searchsorted(self.start, self.offsets)
         self._key: np.ndarray | None = None
+        self._total: np.ndarray | None = None
 
     @property
     def key(self) -> np.ndarray:
@@ -91,17 +92,20 @@ class Words:
             self._key = mix((total[self.end] - total[self.start]) * down[self.start])
         return self._key
 
+    def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hash of the words from each start to before each stop (word indexes)."""
+        if self._total is None:
+            self._total = _runs(self.key, _WORDS)
+        _, down = _WORDS.get(len(self._total))
+        return mix((self._total[stop] - self._total[start]) * down[start] + (stop - start).astype(U))
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``width`` words from each word on, and whether they lie in one row."""
         n = len(self.key)
-        if n < width:
-            return np.zeros(n, dtype=U), np.zeros(n, dtype=bool)
-        total = _runs(self.key, _WORDS)
-        _, down = _WORDS.get(n + 1)
+        m = max(0, n - width + 1)
         out, whole = np.zeros(n, dtype=U), np.zeros(n, dtype=bool)
-        m = n - width + 1
-        out[:m] = mix((total[width:] - total[:m]) * down[:m] + U(width))
-        whole[:m] = self.row[:m] == self.row[width - 1 :]
+        out[:m] = self.spans(np.arange(m), np.arange(width, width + m))
+        whole[:m] = self.row[:m] == self.row[width - 1 :][:m]
         return out, whole
 
 

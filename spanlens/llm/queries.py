@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import edited_fingerprints
+from .mixing import curriculum
+from .simhash import simhash_groups
 from .substring import remove_repeats
 
 ORACLES: dict[str, str] = {}
@@ -43,5 +46,18 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = curriculum(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
