@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,5 +32,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files that no live plan refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's handles are let go in the background, and only then the JVM's objects
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
