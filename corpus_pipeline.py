@@ -1,15 +1,69 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator of ``spanlens.llm``."""
+"""The corpus pipeline: stages over ``documents``, each calling one operator of ``spanlens.llm``.
+
+Every stage takes all rows its predecessor kept and returns the columns of ``documents``; the last returns the packed
+pieces. Stages are applied in order, each written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanlens.llm.langid import UNKNOWN, identify, train
+from spanlens.llm.mixing import copies
+from spanlens.llm.packing import pack
+from spanlens.llm.queries import tokenizer_path
+from spanlens.llm.shared import stored
+from spanlens.llm.simhash import near_duplicates
+from spanlens.llm.substring import remove_repeats
+
+LEAST_SCORE = 0.5
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the row as it is in one column, so that no name of it can clash."""
+    return docs.select("doc_id", "text", F.struct("*").alias("_row"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays below LEAST_SCORE, go."""
+    found = identify(_whole(docs), train(docs.select("text", "lang")))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return near_duplicates(docs, width=5)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words under passages that a smaller document also has go; a document left without words goes."""
+    out = remove_repeats(_whole(docs), carry=("_row",))
+    out = out.where("n_removed = 0 or n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    fresh = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[F.when(cut, fresh[c]).otherwise(F.col("_row")[c]).alias(c) if c in fresh else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (not at all to twice), so that sources come near their targets."""
+    return copies(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, placed in sequences of 4096 tokens."""
+    return pack(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [("language", language), ("near_copies", near_copies), ("repeats", repeats), ("mix", mix), ("packed", packed)]
+#: Bayes scores, hashes by seed and the packing program aren't SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = stored(docs, name)
     return docs

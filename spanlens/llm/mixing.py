@@ -78,7 +78,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **mix) -> DataFrame:
-    """One row per input row: id_col, source, size, source_size, target, takes, taken, position; sorted by position.
+    """One row per input row: id_col, source, size, source_size, target, takes, taken, position, goal (whole words of the
+    source's target) and dice (the hash that orders it); sorted by position.
 
     takes: one entry per pass over the document, (pass, words, position); taken: their words. A source's takes add up
     to its rounded target: every document goes floor(target / size) times whole, and a hash of id and text orders the
@@ -96,7 +97,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = sums.select("name", "nameless", "bucket", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("base"))
     inner = Window.partitionBy("name", "nameless", "bucket").orderBy("dice", "doc", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(inner)).join(sums, ["name", "nameless", "bucket"])
-    placed = placed.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).select("doc", "source", "size", "start")
+    placed = placed.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).select("doc", "source", "size", "start", "dice")
     out = placed.alias("p").join(per.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select("p.*", "source_size", "target", "goal", "pieces")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0).cast("long")
     out = out.withColumn("whole", F.least(whole, F.col("goal")))
@@ -107,5 +108,23 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumn("takes", takes)
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda total, t: total + t["words"])
     first = F.try_element_at("takes", F.lit(1))["position"]
-    out = out.select(F.col("doc").alias(id_col), "source", "size", "source_size", "target", "takes", taken.alias("taken"), first.alias("position"))
+    out = out.select(F.col("doc").alias(id_col), "source", "size", "source_size", "target", "takes", taken.alias("taken"), first.alias("position"), "goal", "dice")
     return out.orderBy(F.col("position").asc_nulls_last(), id_col)
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **mix) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it goes whole; the last one of a source if over half goes.
+
+    All columns stay. The order by hash turns a source's takes into one number a source, up to which rows go once more,
+    so texts are not moved. Rows without words go as often as the source does whole.
+    """
+    plan = curriculum(docs, id_col, text_col, source_col, seed, **mix)
+    dice = F.xxhash64(F.lit(seed), id_col, text_col)
+    taken = plan.select("source", "size", "source_size", "goal", "dice", F.col("taken"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(1).cast("long")
+    more = (F.col("taken") - whole * F.col("size")) * 2 >= F.col("size")
+    per = taken.groupBy("source").agg(F.first(whole).alias("_whole"), F.max(F.when(more & (F.col("size") > 0), F.col("dice"))).alias("_upto"))
+    per = stored(per.withColumnRenamed("source", "_source"), "copies")
+    out = docs.join(per, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
+    times = F.col("_whole") + F.when(dice <= F.col("_upto"), 1).otherwise(0)
+    return out.withColumn("_turn", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)

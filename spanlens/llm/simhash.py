@@ -13,15 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import U, raw, slices
+from .blocks import U, mix, raw, slices
 from .components import components, roots
 from .shared import release, stored
 
@@ -45,27 +45,31 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)]
 
 
-def fingerprints(texts: list[bytes], width: int) -> np.ndarray:
-    """A bit is 1 if it is set in over half of the shingle hashes."""
-    out = np.zeros(len(texts), dtype=U)
+def fingerprints(texts: list[bytes], width: int, words: int = 1) -> np.ndarray:
+    """A bit is 1 if it is set in over half of the shingle hashes; ``words`` columns of 64 bits, the first of XXH64."""
+    out = np.zeros((len(texts), words), dtype="<u8")
     for row, text in enumerate(texts):
         hashes = np.array(shingle_hashes(text, width), dtype="<u8")
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            part = hashes[at : at + (1 << 16)]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[row] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+        ones = np.zeros(64 * words, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 14):
+            part = hashes[at : at + (1 << 14)]
+            more = [part, *[mix(part + U(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(1, words)]]
+            bits = np.unpackbits(np.stack(more, axis=1).view(np.uint8), axis=1, bitorder="little")
+            for low in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+                ones += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
+        out[row] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
     return out
 
 
-def _fingerprint_rows(width: int):
+def _fingerprint_rows(width: int, words: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 data, at = raw(batch.column(1).slice(a, b - a))
                 data = data.tobytes()
-                prints = fingerprints([data[at[i] : at[i + 1]] for i in range(b - a)], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(prints.view(np.int64))], ["doc", "print"])
+                prints = fingerprints([data[at[i] : at[i + 1]] for i in range(b - a)], width, words).view(np.int64)
+                names = ["doc", *(["print"] if words == 1 else [f"f{i}" for i in range(words)])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(np.ascontiguousarray(prints[:, i])) for i in range(words)]], names)
 
     return run
 
@@ -221,3 +225,97 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = prints.join(root, prints.print == root.node, "left").select("print", "low", F.coalesce("root", "print").alias("root"))
     named = whole.join(whole.groupBy("root").agg(F.min("low").alias("component")), "root").select("print", "component")
     return known.join(named, "print").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+WORDS, BAND_BITS, MISS = 4, 18, 0.05
+
+
+def _near_rows(limit: int, window: int):
+    """Links of rows sorted by (band, key, rank): each row against the next few of its key, and the key's first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: list[np.ndarray] | None = None  # the first row of the open key, then its last rows
+        for batch in batches:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + WORDS)]
+            if tail is not None:
+                rows = [np.concatenate([x, y]) for x, y in zip(tail, rows, strict=True)]
+            band, key, doc = rows[:3]
+            prints = np.stack(rows[3:], axis=1).view(U)
+            head = np.ones(len(doc), dtype=bool)
+            head[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+            first = np.flatnonzero(head)[np.cumsum(head) - 1]
+            a, b = [], []
+            for step in range(1, min(window, len(doc) - 1) + 1):
+                at = np.flatnonzero(first[step:] <= np.arange(len(doc) - step))
+                if not len(at):
+                    break
+                a.append(at)
+                b.append(at + step)
+            at = np.flatnonzero(np.arange(len(doc)) - first > window)
+            a, b = np.concatenate([*a, first[at]]) if a else first[at], np.concatenate([*b, at]) if b else at
+            near = np.zeros(len(a), dtype=bool)
+            for start in range(0, len(a), 1 << 18):
+                x, y = prints[a[start : start + (1 << 18)]], prints[b[start : start + (1 << 18)]]
+                near[start : start + (1 << 18)] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
+            names, number = np.unique(doc, return_inverse=True)
+            label = names[roots(len(names), number[a[near]], number[b[near]])]
+            other = label != names
+            yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(label[other])], ["a", "b"])
+            keep = np.arange(max(first[-1] + 1, len(doc) - window), len(doc))
+            keep = np.concatenate([first[-1:], keep])
+            tail = [x[keep] for x in rows]
+
+    return run
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, component_id) of near duplicates: ``similarity`` or more of their ``width``-word shingles (Jaccard).
+
+    Four words of SimHash bits estimate the similarity; the limit of differing bits is that of ``similarity`` and 1.6
+    standard deviations more. Candidates agree on all sampled bits of some band; bands are as many as leave a pair at
+    the similarity unseen with probability MISS. In a band, rows of one key are put in Gray order, and each is held
+    against the next ones (all of a key of usual size) and against the key's first row, so a key of any size takes
+    linear work and bounded memory. Rows without an id take no part.
+    """
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    bits = 64 * WORDS
+    limit = int(bits * differ + 1.6 * sqrt(bits * differ * (1 - differ)))
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
+    names = [f"f{i}" for i in range(WORDS)]
+    known = stored(base.mapInArrow(_fingerprint_rows(width, WORDS), "doc long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    prints = stored(known.groupBy(*names).agg(F.min("doc").alias("low")), "prints")
+    distinct = prints.count()
+    size = max(BAND_BITS, ceil(log2(max(2, distinct))) - 6)
+    bands = ceil(log(MISS) / log(1 - (1 - differ) ** size))
+    window = max(16, 4 * ceil(distinct / 2**size))
+    rng = np.random.default_rng(5)
+    masks = np.zeros((bands, WORDS), dtype="<u8")
+    for band in masks:
+        for bit in rng.choice(bits, size, replace=False):
+            band[bit // 64] |= U(1) << U(bit % 64)
+    rows = F.array(*[F.struct(F.lit(i).alias("band"), *[F.lit(_signed(int(m[j]))).alias(f"m{j}") for j in range(WORDS)]) for i, m in enumerate(masks)])
+    dealt = prints.withColumn("b", F.explode(rows))
+    key = F.xxhash64(*[F.col(n).bitwiseAND(F.col(f"b.m{j}")) for j, n in enumerate(names)])
+    rank = F.col("f0")
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    dealt = dealt.select("b.band", key.alias("key"), "low", *names)
+    dealt = dealt.repartitionByRange("band", "key").sortWithinPartitions("band", "key", rank)
+    links = stored(dealt.mapInArrow(_near_rows(limit, window), "a long, b long").distinct(), "links")
+    release(docs.sparkSession)
+    root = components(links)
+    named = prints.join(root, prints.low == root.node, "left").select(*names, F.coalesce("root", "low").alias("component_id"))
+    return known.join(named, names).select(F.col("doc").alias(id_col), "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id.
+
+    All columns stay. Rows that repeat an id count as one document, of which the first by text stays; rows without an
+    id are not grouped and stay.
+    """
+    kept = near_groups(docs, id_col, text_col, **how).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    once = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    once = once.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    return once.unionByName(docs.where(F.col(id_col).isNull()))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .blocks import U, Words, mix, slices
 from .shared import release, stored
@@ -140,47 +141,54 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _fold(np.concatenate(docs), np.concatenate(keys), False)
 
 
-def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "n_words", "n_removed", "kept_sha256", "kept_text"]
-    for batch in batches:
-        for a, b in slices(batch.column(1)):
-            words = Words(batch.column(1).slice(a, b - a))
-            gone = np.zeros(len(words.start) + 1, dtype=np.int32)
-            lists = batch.column(2).slice(a, b - a)
-            if lists.flatten().null_count < len(lists.flatten()):
-                window, whole = words.windows(WINDOW)
-                at = np.flatnonzero(whole)
-                at = at[_members(words, words.row[at], window[at], lists)]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW, -1)
-            kept = np.cumsum(gone[:-1]) == 0
-            counts = np.diff(words.first)
-            left = np.concatenate([[0], np.cumsum(kept)])
-            removed = counts - (left[words.first[1:]] - left[words.first[:-1]])
-            data, text = words.data.tobytes(), []
-            for row in range(b - a):
-                own = data[words.offsets[row] : words.offsets[row + 1]].split()
-                if removed[row]:
-                    own = compress(own, kept[words.first[row] : words.first[row + 1]].tolist())
-                text.append(b" ".join(own))
-            digest = [hashlib.sha256(x).hexdigest() for x in text]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.binary()).cast(pa.string())],
-                names,
-            )
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _removal(carried: list[str]):
+    names = ["doc", "n_words", "n_removed", "kept_sha256", "kept_text", *carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                words = Words(batch.column(1).slice(a, b - a))
+                gone = np.zeros(len(words.start) + 1, dtype=np.int32)
+                lists = batch.column(2).slice(a, b - a)
+                if len(lists.flatten()):
+                    window, whole = words.windows(WINDOW)
+                    at = np.flatnonzero(whole)
+                    at = at[_members(words, words.row[at], window[at], lists)]
+                    np.add.at(gone, at, 1)
+                    np.add.at(gone, at + WINDOW, -1)
+                kept = np.cumsum(gone[:-1]) == 0
+                counts = np.diff(words.first)
+                left = np.concatenate([[0], np.cumsum(kept)])
+                removed = counts - (left[words.first[1:]] - left[words.first[:-1]])
+                data, text = words.data.tobytes(), []
+                for row in range(b - a):
+                    own = data[words.offsets[row] : words.offsets[row + 1]].split()
+                    if removed[row]:
+                        own = compress(own, kept[words.first[row] : words.first[row + 1]].tolist())
+                    text.append(b" ".join(own))
+                digest = [hashlib.sha256(x).hexdigest() for x in text]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
+                        *[c.slice(a, b - a) for c in batch.columns[3:]],
+                    ],
+                    names,
+                )
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word under a 13-word window whose words also start in a document with a smaller id.
 
     Returns one row per input row: id_col, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space).
     A null text has no words; a null id takes no part (its words stay, and nothing is removed on its account); rows
-    that repeat an id count as one document, so they never remove each other's words. Other columns are left out;
-    join them back by id. Equality of windows is that of 64-bit hashes of their words.
+    that repeat an id count as one document, so they never remove each other's words. Columns named in ``carry`` come
+    along as they are, under their own names after these; others are left out. Equality of windows is that of 64-bit hashes of their words.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    usable = base.where("doc is not null and text is not null")
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    usable = base.select("doc", "text").where("doc is not null and text is not null")
     shared = stored(_exchange(usable.mapInArrow(_anchor_rows, _ROWS), True), "anchors")
     release(spark)
     lists = shared.groupBy("doc").agg(F.collect_list("key").alias("keys"))
@@ -188,6 +196,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = stored(_exchange(near, False), "windows")
     release(spark)
     lists = covered.groupBy("doc").agg(F.collect_list("key").alias("keys"))
-    out = base.join(lists, "doc", "left").select("doc", "text", "keys")
-    schema = "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return out.mapInArrow(_removal, schema).withColumnRenamed("doc", id_col)
+    carried = [f"c{i}" for i in range(len(carry))]
+    out = base.join(lists, "doc", "left").select("doc", "text", "keys", *carried)
+    schema = StructType.fromDDL("doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    for name in carried:
+        schema = schema.add(out.schema[name])
+    done = out.mapInArrow(_removal(carried), schema).withColumnRenamed("doc", id_col)
+    return done.select(*done.columns[:5], *[F.col(n).alias(c) for n, c in zip(carried, carry, strict=True)])
