@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import raw, slices
+from .blocks import slices
 from .shared import release, stored
 from .tokens import load
 
@@ -165,22 +165,20 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
+        names, types = ["doc", "piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             for a, b in slices(batch.column(1)):
-                data, at = raw(batch.column(1).slice(a, b - a))
-                data, out = data.tobytes(), []
-                for row, packed in enumerate(tokenizer.encode([data[at[i] : at[i + 1]] for i in range(b - a)])):
-                    packed += end
-                    for n, start in enumerate(range(0, len(packed), 4 * capacity)):
-                        own = packed[start : start + 4 * capacity]
-                        out.append((ids[a + row], n, start // 4, len(own) // 4, zlib.crc32(own)))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc", "piece", "start", "length", "ids_crc32"])
+                flat, bounds = tokenizer.encode(batch.column(1).slice(a, b - a), end_id)
+                data, out, rows = memoryview(flat).cast("B"), [], []
+                for row, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    for n, start in enumerate(range(low, high, capacity)):
+                        stop = min(start + capacity, high)
+                        rows.append(row)
+                        out.append((n, start - low, stop - start, zlib.crc32(data[4 * start : 4 * stop])))
+                docs = batch.column(0).slice(a, b - a).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([docs, *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]], names)
 
     return run
 

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import raw, slices
+from .blocks import slices
 from .tokens import load
 
-MAGIC, BLOCK, FRAME_TOKENS = b"SLT1", 1024, 1 << 20
+MAGIC, BLOCK, FRAME_TOKENS = b"SLT1", 1024, 1 << 21
 SLOTS, CLASS_BITS, REBUILD = 1024, 7, 256
 SCALE_BITS, COUNT_BITS = 16, 13
 TOTAL_BITS = SCALE_BITS + CLASS_BITS
@@ -177,9 +177,8 @@ def decode_blocks(used: np.ndarray, words: np.ndarray, vocabulary: int) -> np.nd
     return out.T.astype("<u4")
 
 
-def pack_frame(docs: list[int | None], tokens: list[bytes], vocabulary: int) -> bytes:
-    """One frame of whole documents, given as packed little-endian 32-bit ids."""
-    ids = np.frombuffer(b"".join(tokens), dtype="<u4")
+def pack_frame(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
+    """One frame of whole documents: their ids, their numbers of tokens, and all tokens."""
     blocks = -(-len(ids) // BLOCK)
     full = np.zeros(blocks * BLOCK, dtype="<u4")
     full[: len(ids)] = ids
@@ -189,8 +188,7 @@ def pack_frame(docs: list[int | None], tokens: list[bytes], vocabulary: int) ->
     head = MAGIC + struct.pack("<IIQI", len(docs), blocks, len(ids), vocabulary)
     known = np.array([x is not None for x in docs], dtype=np.uint8)
     names = np.array([x or 0 for x in docs], dtype="<i8")
-    sizes = np.array([len(x) // 4 for x in tokens], dtype="<i8")
-    body = head + known.tobytes() + names.tobytes() + sizes.tobytes() + used.astype("<u4").tobytes() + sums.tobytes() + words.astype("<u4").tobytes()
+    body = head + known.tobytes() + names.tobytes() + sizes.astype("<i8").tobytes() + used.astype("<u4").tobytes() + sums.tobytes() + words.astype("<u4").tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -217,33 +215,27 @@ def unpack_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
 
 def _frames(path: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tokenizer, part = load(path), TaskContext.get().partitionId()
-        docs, tokens, size, chunk, start = [], [], 0, 0, 0
+        docs, sizes, tokens, size, chunk, start = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            frame = pack_frame(docs, tokens, len(tokenizer.last))
+            frame = pack_frame(docs, np.concatenate(sizes), np.concatenate(tokens), len(tokenizer.last))
             values = [[part], [chunk], [start], [size], [frame]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "chunk", "start", "tokens", "frame"])
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, b in slices(batch.column(1)):
-                data, at = raw(batch.column(1).slice(a, b - a))
-                data = data.tobytes()
-                for row, packed in enumerate(tokenizer.encode([data[at[i] : at[i + 1]] for i in range(b - a)])):
-                    docs.append(ids[a + row])
-                    tokens.append(packed + end)
-                    size += len(packed) // 4 + 1
-                    if size >= FRAME_TOKENS:
-                        yield flush()
-                        chunk, start, size = chunk + 1, start + size, 0
-                        docs.clear()
-                        tokens.clear()
+            for a, b in slices(batch.column(1), 1 << 20):
+                flat, bounds = tokenizer.encode(batch.column(1).slice(a, b - a), end_id)
+                docs += batch.column(0).slice(a, b - a).to_pylist()
+                sizes.append(np.diff(bounds))
+                tokens.append(flat)
+                size += len(flat)
+                if size >= FRAME_TOKENS:
+                    yield flush()
+                    docs, sizes, tokens, size, chunk, start = [], [], [], 0, chunk + 1, start + size
         if docs:
             yield flush()
 

@@ -1,22 +1,43 @@
 """Token ids of whole texts, by a tokenizer file whose words are independent of each other.
 
 ``word_bpe`` vocabularies drop white space and never merge across it, so a text's ids are those of its words (runs
-outside 0x20 and 0x09-0x0D) in turn. Words are looked up in a bounded cache as packed little-endian 32-bit ids; only
-words not in it go to the tokenizer, plain ones many at a time.
+outside 0x20 and 0x09-0x0D) in turn. Each slice of a column is reduced to its distinct words; their ids come from a
+bounded cache, and the ids of all words are gathered from it at once. Only words not in the cache go to the tokenizer,
+many at a time, with closing punctuation and capitals taken off where the tokenizer is known to treat them apart.
 """
 
 from __future__ import annotations
 
 import os
 import unicodedata
-from itertools import chain
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
-CACHE_WORDS = 600_000
+from .blocks import Words
+
+CACHE_WORDS, CACHE_PARTS = 2_000_000, 700_000
+#: ASCII marks that form a word of their own behind letters; the apostrophe, which starts contractions, isn't one.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[str, WordTokenizer] = {}
 
 
+def _core(stem: bytes) -> bytes | None:
+    """Lower case of a stem that the tokenizer takes as one run of letters; None where that isn't certain."""
+    if stem.isalpha():
+        return stem.lower()
+    if stem.isascii():
+        return None
+    try:
+        text = stem.decode()
+    except UnicodeDecodeError:
+        return None
+    low = text.lower()
+    plain = text.isalpha() and low.isalpha() and len(low) == len(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+    return low.encode() if plain else None
+
+
 class WordTokenizer:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,42 +48,95 @@ class WordTokenizer:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         for token, at in vocabulary.items():
             self.last[at] = token.endswith("</w>")
-        self.cache: dict[bytes, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.parts: dict[bytes, bytes] = {}  # stems, tails and odd words to packed ids
+        self.keys, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words: hash (in order), bytes
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
+    def _alone(self, words: list[bytes]) -> None:
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.parts.update((w, np.array(f.ids, dtype="<u4").tobytes()) for w, f in zip(part, found, strict=True))
+
+    def _packed(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, from its parts."""
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        known, split, alone, cores = self.parts, [], {}, {}
         for word in words:
-            text = word.decode("utf-8", "replace")
-            one = text.isascii() and text.isalpha() or text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower()) and len(text) == len(text.lower())
-            (plain if one else other).append((word, text))
-        for start in range(0, len(plain), 4096):
-            part = plain[start : start + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stem = word.rstrip(TAIL)
+            core = _core(stem)
+            if core is None:
+                core, tail = word, b""
+                if core not in known:
+                    alone[core] = None
+            else:
+                tail = word[len(stem) :]
+                if core not in known:
+                    cores[core] = None
+                if tail and tail not in known:
+                    alone[tail] = None
+            split.append((core, tail))
+        names = list(cores)
+        for start in range(0, len(names), 8192):
+            part = names[start : start + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):  # some letter that the tokenizer takes apart
-                other += part
+                self._alone(part)
                 continue
-            packed, at = ids.tobytes(), 0
-            for (word, _), end in zip(part, (4 * ends).tolist(), strict=True):
-                self.cache[word] = packed[at:end]
-                at = end
-        for start in range(0, len(other), 4096):
-            part = other[start : start + 4096]
-            for (word, _), found in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of each text."""
-        split = [x.split() for x in texts]
-        words = set(chain.from_iterable(split))
-        missing = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = list(words)
-        if missing:
-            self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            packed, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known.update(zip(part, map(packed.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        self._alone(list(alone))
+        return [known[core] + known[tail] if tail else known[core] for core, tail in split]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        packed = self._packed(words)
+        order = np.argsort(keys)
+        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        start = len(self.pool) + np.cumsum(size) - size
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        at = np.searchsorted(self.keys, keys[order])
+        for name, new in (("keys", keys), ("length", length), ("start", start), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(packed), dtype="<u4")])
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's closed by end_id, and the bounds of each text among them.
+
+        Words are told apart by 64 bits of hash and their length in bytes.
+        """
+        words = Words(column)
+        code, distinct = pd.factorize(words.key)
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        length = words.end[first] - words.start[first]
+        if len(self.keys) + len(distinct) > CACHE_WORDS:
+            self._clear()
+        own = np.searchsorted(self.keys, distinct)
+        spot = np.minimum(own, max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[spot] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            data = words.data.tobytes()
+            pick = first[new]
+            self._learn(distinct[new], [data[a:b] for a, b in zip(words.start[pick].tolist(), words.end[pick].tolist(), strict=True)])
+            own = np.searchsorted(self.keys, distinct)
+        if (self.length[own] != length).any():  # another word with the hash is in the cache
+            self._clear()
+            return self.encode(column, end_id)
+        size, start = self.size[own][code], self.start[own][code]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        bounds = upto[words.first] + np.arange(len(words.first))
+        out = np.empty(upto[-1] + words.rows, dtype="<u4")
+        out[bounds[1:] - 1] = end_id
+        inner = np.repeat(start - upto[:-1], size) + np.arange(upto[-1])
+        place = np.ones(len(out), dtype=bool)
+        place[bounds[1:] - 1] = False
+        out[place] = self.pool[inner]
+        return out, bounds
 
 
 def load(path: str) -> WordTokenizer:
