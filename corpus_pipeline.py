@@ -20,15 +20,16 @@ from spanlens.llm.substring import remove_repeats
 LEAST_SCORE = 0.5
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and the row as it is in one column, so that no name of it can clash."""
-    return docs.select("doc_id", "text", F.struct("*").alias("_row"))
+def _plain(docs: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., so that none clashes with those that an operator adds."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language stays below LEAST_SCORE, go."""
-    found = identify(_whole(docs), train(docs.select("text", "lang")))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    plain, text = _plain(docs), f"c{docs.columns.index('text')}"
+    found = identify(plain, train(docs.select("text", "lang")), text)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under passages that a smaller document also has go; a document left without words goes."""
-    out = remove_repeats(_whole(docs), carry=("_row",))
-    out = out.where("n_removed = 0 or n_removed < n_words")
-    cut = F.col("n_removed") > 0
-    fresh = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[F.when(cut, fresh[c]).otherwise(F.col("_row")[c]).alias(c) if c in fresh else F.col("_row")[c].alias(c) for c in docs.columns])
+    plain, at = _plain(docs), {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    carry = tuple(at[c] for c in docs.columns if c not in ("doc_id", "text"))
+    out = remove_repeats(plain, at["doc_id"], at["text"], carry).where("n_removed = 0 or n_removed < n_words")
+    changed = {"text": F.col("kept_text")}
+    if "n_chars" in at:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col(at["n_chars"]))
+    return out.select(*[changed.get(c, F.col(at[c])).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

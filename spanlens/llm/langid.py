@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
+
+from .blocks import slices
 
 FEATURES, ORDERS, SMOOTHING, MOST_LANGUAGES, STEP = 1 << 16, 3, 0.5, 256, 1 << 20
 UNKNOWN = "und"
@@ -53,27 +56,15 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(rows)
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about STEP characters."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x or "") + 1
-        if size > STEP:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
     for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in _parts(texts):
-            names = sorted(set(langs[a:b]))
-            code, row = features(texts[a:b])
-            kind = np.array([names.index(x) for x in langs[a:b]])
+        for a, b in slices(batch.column(0), STEP):
+            langs = batch.column(1).slice(a, b - a).to_pylist()
+            names = sorted(set(langs))
+            code, row = features(batch.column(0).slice(a, b - a).to_pylist())
+            kind = np.array([names.index(x) for x in langs])
             found = np.bincount(kind[row] * FEATURES + code, minlength=len(names) * FEATURES).reshape(-1, FEATURES)
             for i, name in enumerate(names):
                 total[name] = total.get(name, 0) + found[i]
@@ -94,20 +85,15 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Most probable language and its posterior; ``und`` and 0 without a letter or without any learned language."""
-        names, best = [], np.zeros(len(texts))
-        for a, b in _parts(texts):
-            code, row = features(texts[a:b])
-            some = np.zeros(b - a, dtype=bool)
-            some[row] = True
-            if not self.langs:
-                names += [UNKNOWN] * (b - a)
-                continue
-            score = np.stack([np.bincount(row, weights=logs[code], minlength=b - a) for logs in self.logs]) + self.prior[:, None]
-            top = score.argmax(axis=0)
-            share = 1 / np.exp(score - score.max(axis=0)).sum(axis=0)
-            names += [self.langs[t] if s else UNKNOWN for t, s in zip(top, some, strict=True)]
-            best[a:b] = np.where(some, share, 0)
-        return names, best
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        code, row = features(texts)
+        some = np.zeros(len(texts), dtype=bool)
+        some[row] = True
+        score = np.stack([np.bincount(row, weights=logs[code], minlength=len(texts)) for logs in self.logs]) + self.prior[:, None]
+        top = score.argmax(axis=0)
+        share = 1 / np.exp(score - score.max(axis=0)).sum(axis=0)
+        return [self.langs[t] if s else UNKNOWN for t, s in zip(top, some, strict=True)], np.where(some, share, 0)
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -135,13 +121,13 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, best = sent.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best, pa.float64())], schema=None, names=[*batch.schema.names, "lang_pred", "score"])
+            for a, b in slices(batch.column(at), STEP):
+                part = batch.slice(a, b - a)
+                names, best = sent.value.predict(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     at = kept.columns.index(text_col)
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
     schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     return kept.mapInArrow(run, schema)
 

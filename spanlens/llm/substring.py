@@ -167,6 +167,7 @@ def _removal(carried: list[str]):
                         own = compress(own, kept[words.first[row] : words.first[row + 1]].tolist())
                     text.append(b" ".join(own))
                 digest = [hashlib.sha256(x).hexdigest() for x in text]
+                text = [x if gone_ else data[words.offsets[i] : words.offsets[i + 1]] for i, (x, gone_) in enumerate(zip(text, removed, strict=True))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
@@ -181,13 +182,14 @@ def _removal(carried: list[str]):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word under a 13-word window whose words also start in a document with a smaller id.
 
-    Returns one row per input row: id_col, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space).
+    Returns one row per input row: id_col, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text (the
+    same words so joined; the text as it is, empty for null, where none was removed).
     A null text has no words; a null id takes no part (its words stay, and nothing is removed on its account); rows
     that repeat an id count as one document, so they never remove each other's words. Columns named in ``carry`` come
     along as they are, under their own names after these; others are left out. Equality of windows is that of 64-bit hashes of their words.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)])
     usable = base.select("doc", "text").where("doc is not null and text is not null")
     shared = stored(_exchange(usable.mapInArrow(_anchor_rows, _ROWS), True), "anchors")
     release(spark)
@@ -196,7 +198,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = stored(_exchange(near, False), "windows")
     release(spark)
     lists = covered.groupBy("doc").agg(F.collect_list("key").alias("keys"))
-    carried = [f"c{i}" for i in range(len(carry))]
+    carried = [f"_carried{i}" for i in range(len(carry))]
     out = base.join(lists, "doc", "left").select("doc", "text", "keys", *carried)
     schema = StructType.fromDDL("doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     for name in carried:
