@@ -1,9 +1,9 @@
 """Token ids as compressed files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
 A block is BLOCK ids and starts from a fresh state. Three models predict the next id: order 2 and order 1 each name the
-id last seen after the same two or one ids (with a confidence that counts its hits), order 0 spreads what is left over
-classes of ids by their counts so far, rebuilt every REBUILD ids. Adaptive weights, learned for each pair of
-confidences, split the coder's interval among the three, and a carry-less range coder narrows it.
+id last seen after the same two or one ids, order 0 spreads what is left over classes of ids by their counts so far,
+rebuilt every REBUILD ids. Adaptive weights, learned apart for each outcome of the last three predictions and for
+whether the two orders agree, split the coder's interval among the three, and a carry-less range coder narrows it.
 
 All blocks of a frame advance together, one id of each at a time, as numpy vectors; a block's bytes depend on its own
 ids alone. A frame holds whole documents: their ids and lengths, then each block's length, CRC-32 and words.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import slices
+from .shared import batches_of
 from .tokens import load
 
 MAGIC, BLOCK, FRAME_TOKENS = b"SLT1", 1024, 1 << 21
@@ -30,10 +31,10 @@ TOTAL_BITS = SCALE_BITS + CLASS_BITS
 SCALE = 1 << SCALE_BITS
 MOST2, MOST1 = SCALE * 9 // 16, SCALE // 4
 U, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
-#: What a weight pair gains if neither, order 2 or order 1 was right.
-STEPS = np.array([(1 << SCALE_BITS - 1) + 1, ((MOST2 >> 4) + 1 << SCALE_BITS - 1) + 1, (1 << SCALE_BITS - 1) + (MOST1 >> 4) + 1, 0], dtype=np.int32)
-#: First guesses, by confidence, that order 2 and order 1 are right.
-HIT2, HIT1 = (0.02, 0.2, 0.35, 0.45, 0.5, 0.55, 0.6, 0.62), (0.02, 0.06, 0.1, 0.14, 0.18, 0.2, 0.22, 0.24)
+#: First guesses that order 2 and order 1 are right, and what a weight pair gains if neither, order 2 or order 1 was.
+HIT2, HIT1, HALF = SCALE // 8, SCALE // 32, SCALE_BITS - 1
+STEPS = np.array([(1 << HALF) + 1, ((MOST2 >> 4) + 1 << HALF) + 1, (1 << HALF) + (MOST1 >> 4) + 1], dtype=np.int32)
+STATES, AGREE = 27, 27 * 2  # outcomes of three predictions, times agreement
 
 
 class _Model:
@@ -42,19 +43,17 @@ class _Model:
     def __init__(self, lanes: int, vocabulary: int) -> None:
         self.classes = -(-vocabulary >> CLASS_BITS)
         self.two, self.one = (np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2))
-        grid = np.arange(64)
-        first = (np.array(HIT2)[grid >> 3] * SCALE).astype(np.int32) << SCALE_BITS - 1 | (np.array(HIT1)[grid & 7] * SCALE).astype(np.int32)
-        self.weights = np.tile(first, lanes)  # of order 2 above of order 1
+        self.weights = np.full(lanes * AGREE, HIT2 << HALF | HIT1, dtype=np.int32)  # of order 2 above of order 1
         lane = np.arange(lanes)
-        self.at64, self.at_slots, self.at_cum = lane * 64, lane * SLOTS, lane * (self.classes + 1)
-        self.lane_key = (lane << (COUNT_BITS + 1)).astype(np.int32 if lanes < 1 << 16 else np.int64)
+        self.at_weight, self.at_slots, self.at_cum = lane * AGREE, lane * SLOTS, lane * (self.classes + 1)
         self.counts = np.tile((2000.0 / (np.arange(self.classes) + 8)).astype(np.float32), (lanes, 1))
         self.flat = self.counts.reshape(-1)
         self.cum = np.zeros((lanes, self.classes + 1), dtype=np.int32)
         self.cum_flat = self.cum.reshape(-1)
         self.at_count = self.at_cum - lane
         self.recent: list[np.ndarray] = []
-        self.i1, self.i2, self.previous = self.at_slots.copy(), self.at_slots.copy(), np.zeros(lanes, dtype=np.int32)
+        self.i1, self.i2 = self.at_slots.copy(), self.at_slots.copy()
+        self.previous, self.state = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
         self.rebuild()
 
     def rebuild(self) -> None:
@@ -65,15 +64,27 @@ class _Model:
         total *= ((1 << COUNT_BITS) - self.classes) / total[:, -1:]
         np.add(total, np.arange(1, self.classes + 1, dtype=np.float32), out=self.cum[:, 1:], casting="unsafe")
         self.cum[:, -1] = 1 << COUNT_BITS
-        self.keys: np.ndarray | None = None
+        self.first: np.ndarray | None = None
+
+    def find(self, goal: np.ndarray) -> np.ndarray:
+        """Place of the last class of each lane that starts at goal or before."""
+        if self.first is None:  # class at every 8th count, from where a few steps lead on
+            table = np.zeros((len(goal), (1 << COUNT_BITS - 3) + 1), dtype=np.int16)
+            table[np.arange(len(goal))[:, None], self.cum[:, :-1] + 7 >> 3] = np.arange(self.classes, dtype=np.int16)
+            self.first = np.maximum.accumulate(table, axis=1, out=table).reshape(-1)
+            self.at_first = np.arange(len(goal)) * table.shape[1]
+        place = self.at_cum + self.first.take(self.at_first + (goal >> 3))
+        on = np.flatnonzero(self.cum_flat.take(place + 1) <= goal)
+        while len(on):
+            place[on] += 1
+            on = on[self.cum_flat.take(place.take(on) + 1) <= goal.take(on)]
+        return place
 
     def predict(self) -> None:
-        self.e2, self.e1 = self.two.take(self.i2), self.one.take(self.i1)
-        self.p2, self.p1 = self.e2 & 0xFFFF, self.e1 & 0xFFFF
-        self.s2, self.s1 = self.e2 >> 16, self.e1 >> 16
-        self.k = self.at64 + ((self.s2 << 3) + self.s1)
+        self.p2, self.p1 = self.two.take(self.i2), self.one.take(self.i1)
+        self.k = self.at_weight + (self.state + STATES * (self.p2 == self.p1))
         self.w = self.weights.take(self.k)
-        self.f2, self.f1 = self.w >> SCALE_BITS - 1, self.w & (SCALE >> 1) - 1
+        self.f2, self.f1 = self.w >> HALF, self.w & (1 << HALF) - 1
         self.seen = self.f2 + self.f1
         self.rest = SCALE - self.seen
 
@@ -84,23 +95,21 @@ class _Model:
 
     def spot(self, ids: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interval of each id out of 2 ** TOTAL_BITS, given that of its class."""
-        self.hit2, self.right1 = ids == self.p2, ids == self.p1
-        self.hit1 = self.right1 & ~self.hit2
+        hit2, hit1 = ids == self.p2, ids == self.p1
+        self.won = np.where(hit2, 1, hit1.view(np.int8) << 1)
         start = (self.seen + low << CLASS_BITS) + size * (ids & (1 << CLASS_BITS) - 1)
-        np.copyto(start, self.f2 << CLASS_BITS, where=self.hit1)
-        np.copyto(size, self.f1 << CLASS_BITS, where=self.hit1)
-        np.copyto(start, 0, where=self.hit2)
-        np.copyto(size, self.f2 << CLASS_BITS, where=self.hit2)
+        np.copyto(start, self.f2 << CLASS_BITS, where=hit1)
+        np.copyto(size, self.f1 << CLASS_BITS, where=hit1)
+        np.copyto(start, 0, where=hit2)
+        np.copyto(size, self.f2 << CLASS_BITS, where=hit2)
         return start, size
 
     def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.hit2, self.hit1
-        fade = (self.f2 >> 4 << SCALE_BITS - 1) + (self.f1 >> 4)
-        self.weights[self.k] = self.w - fade + STEPS.take(hit2.view(np.int8) + 2 * hit1.view(np.int8))
-        new = ids + 65536
-        for table, at, entry, sure, right in ((self.two, self.i2, self.e2, self.s2, hit2), (self.one, self.i1, self.e1, self.s1, self.right1)):
-            worse = np.where(sure > 0, entry - 65536, new)
-            table[at] = np.where(right, entry + ((sure < 7) * np.int32(65536)), worse)
+        fade = (self.f2 >> 4 << HALF) + (self.f1 >> 4)
+        self.weights[self.k] = self.w - fade + STEPS.take(self.won)
+        self.two[self.i2] = ids
+        self.one[self.i1] = ids
+        self.state = self.state % 9 * 3 + self.won
         self.recent.append(ids)
         if len(self.recent) == REBUILD:
             self.rebuild()
@@ -121,10 +130,18 @@ def _shift(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low << U(32), np.where(settled, width, (U(0) - low) & LOW32) << U(32)
 
 
+def _turned(table: np.ndarray, kind) -> np.ndarray:
+    """Transposed copy, in strips that fit the processor's caches."""
+    out = np.empty(table.shape[::-1], dtype=kind)
+    for at in range(0, len(table), 32):
+        out[:, at : at + 32] = table[at : at + 32].T
+    return out
+
+
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """ids of whole blocks (blocks x BLOCK) to the number of 32-bit words of each block, and the words."""
     lanes = len(ids)
-    steps = np.ascontiguousarray(ids.T).astype(np.int32)
+    steps = _turned(ids, np.int32)
     model = _Model(lanes, vocabulary)
     low, width = np.zeros(lanes, dtype=U), np.full(lanes, 2**64 - 1, dtype=U)
     room = 2 * BLOCK + 2
@@ -157,13 +174,10 @@ def decode_blocks(used: np.ndarray, words: np.ndarray, vocabulary: int) -> np.nd
         value = np.minimum((code - low) // (width >> U(TOTAL_BITS)), U((1 << TOTAL_BITS) - 1)).astype(np.int32)
         coarse = value >> CLASS_BITS
         left = np.maximum(coarse - model.seen, 0)
-        if model.keys is None:
-            model.keys = (model.cum + model.lane_key[:, None]).reshape(-1)
-        goal = ((left + 1 << COUNT_BITS) - 1) // model.rest
-        place = np.searchsorted(model.keys, goal + model.lane_key, side="right") - 1
-        place = np.minimum(place, model.at_cum + (model.classes - 1))
+        goal = (((left + 1 << COUNT_BITS) - 1) / model.rest).astype(np.int32)  # exact: a quotient of such numbers can't round up to an integer
+        place = model.find(np.minimum(goal, (1 << COUNT_BITS) - 1))
         begin, size = model.bounds(place)
-        ids = ((place - model.at_cum).astype(np.int32) << CLASS_BITS) + (value - (model.seen + begin << CLASS_BITS)) // size
+        ids = ((place - model.at_cum).astype(np.int32) << CLASS_BITS) + ((value - (model.seen + begin << CLASS_BITS)) / size).astype(np.int32)
         np.copyto(ids, model.p1, where=coarse < model.seen)
         np.copyto(ids, model.p2, where=coarse < model.f2)
         out[now] = ids
@@ -174,7 +188,7 @@ def decode_blocks(used: np.ndarray, words: np.ndarray, vocabulary: int) -> np.nd
             spots[at] += 1
             low[at], width[at] = _shift(low.take(at), width.take(at))
         model.update(ids)
-    return out.T.astype("<u4")
+    return _turned(out, np.dtype("<u4"))
 
 
 def pack_frame(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
@@ -252,7 +266,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = base.repartitionByRange("doc").sortWithinPartitions("doc", "text")
     frames = dealt.mapInArrow(_frames(tokenizer_path, end_id), "part int, chunk int, start long, tokens long, frame binary")
-    frames.write.option("compression", "uncompressed").parquet(path)
+    with batches_of(docs.sparkSession, 1000):
+        frames.write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from .blocks import Words
 
-CACHE_WORDS, CACHE_PARTS = 2_000_000, 700_000
+CACHE_WORDS, CACHE_PARTS = 1_500_000, 400_000
 #: ASCII marks that form a word of their own behind letters; the apostrophe, which starts contractions, isn't one.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[str, WordTokenizer] = {}
@@ -33,6 +33,8 @@ def _core(stem: bytes) -> bytes | None:
         text = stem.decode()
     except UnicodeDecodeError:
         return None
+    if "\u03a3" in text:  # Python lowers a capital sigma by its place in the word
+        return None
     low = text.lower()
     plain = text.isalpha() and low.isalpha() and len(low) == len(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
     return low.encode() if plain else None
@@ -94,14 +96,14 @@ class WordTokenizer:
         return [known[core] + known[tail] if tail else known[core] for core, tail in split]
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Enter new words in order of their hashes."""
         packed = self._packed(words)
-        order = np.argsort(keys)
         size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
         start = len(self.pool) + np.cumsum(size) - size
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        at = np.searchsorted(self.keys, keys[order])
+        at = np.searchsorted(self.keys, keys)
         for name, new in (("keys", keys), ("length", length), ("start", start), ("size", size)):
-            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
+            setattr(self, name, np.insert(getattr(self, name), at, new))
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(packed), dtype="<u4")])
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +118,8 @@ class WordTokenizer:
         length = words.end[first] - words.start[first]
         if len(self.keys) + len(distinct) > CACHE_WORDS:
             self._clear()
+        order = np.argsort(distinct)  # sorted look-ups stay in the processor's caches
+        distinct, length, first = distinct[order], length[order], first[order]
         own = np.searchsorted(self.keys, distinct)
         spot = np.minimum(own, max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[spot] != distinct) if len(self.keys) else np.arange(len(distinct))
@@ -127,15 +131,17 @@ class WordTokenizer:
         if (self.length[own] != length).any():  # another word with the hash is in the cache
             self._clear()
             return self.encode(column, end_id)
-        size, start = self.size[own][code], self.start[own][code]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = own
+        size, start = self.size[place][code], self.start[place][code]
         upto = np.concatenate([[0], np.cumsum(size)])
         bounds = upto[words.first] + np.arange(len(words.first))
         out = np.empty(upto[-1] + words.rows, dtype="<u4")
         out[bounds[1:] - 1] = end_id
         inner = np.repeat(start - upto[:-1], size) + np.arange(upto[-1])
-        place = np.ones(len(out), dtype=bool)
-        place[bounds[1:] - 1] = False
-        out[place] = self.pool[inner]
+        inside = np.ones(len(out), dtype=bool)
+        inside[bounds[1:] - 1] = False
+        out[inside] = self.pool[inner]
         return out, bounds
 
 
