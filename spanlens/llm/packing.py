@@ -192,7 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pieces = stored(base.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = stored(base.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc long, piece int, start long, length long, ids_crc32 long"), "pieces", 1000)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     sent = spark.sparkContext.broadcast(plan(histogram, capacity).arrays())
     rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)))
