@@ -207,7 +207,7 @@ def knn_dense(b: Base) -> DataFrame:
 
 WEIGHT = "1.0 * r_ent + 1.0 * r_ctx + 0.01 * r_oth"
 MATCH = ROLES + f""", stats AS {stats_sql("id % 50 <> 0")}, dt AS (SELECT DISTINCT id, token FROM tok), match AS (
-  SELECT q.id AS qid, d.id AS did, sum({WEIGHT}) AS score FROM dt q JOIN stats USING (token) JOIN dt d USING (token) WHERE q.id % 50 = 0 AND q.id <> d.id AND token NOT IN {in_list(STOP_WORDS)} GROUP BY q.id, d.id)"""
+  SELECT q.id AS qid, d.id AS did, CAST(sum(CAST(round({WEIGHT}, 12) AS DECIMAL(28, 12))) AS DOUBLE) AS score FROM dt q JOIN stats USING (token) JOIN dt d USING (token) WHERE q.id % 50 = 0 AND q.id <> d.id AND token NOT IN {in_list(STOP_WORDS)} GROUP BY q.id, d.id)"""
 
 
 @query(f"WITH {MATCH} SELECT qid, did, round(score, 5) AS score FROM match")
