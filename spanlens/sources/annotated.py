@@ -61,13 +61,32 @@ def read_vocabulary_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return text.select(pairs.alias("token", "emb"))
 
 
+def numbered(rows: DataFrame, column: str = "ord", buckets: int = 200) -> DataFrame:
+    """Rows with their 0-based ``place`` in the order of a numeric column, without ordering all in one task.
+
+    Quantiles cut the column into buckets; bucket sizes (at most ``buckets`` rows) give each bucket's first place, and
+    rows are ordered inside their bucket only.
+    """
+    cuts = rows.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("cuts")).first()["cuts"] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    dealt = rows.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b < F.col(column))))
+    sizes = dealt.groupBy("_bucket").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(sizes.select("_bucket", before.alias("_first")))
+    inner = F.row_number().over(Window.partitionBy("_bucket").orderBy(column)) - 1
+    return dealt.withColumn("_n", inner).join(first, "_bucket").withColumn("place", (F.col("_first") + F.col("_n")).cast("long")).drop("_bucket", "_n", "_first")
+
+
 def shuffled_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """The rows at the first n places of Python's seeded shuffle of all places by ``ord``, with their ``place``."""
+    """The rows at the first n places of Python's seeded shuffle of all places by ``ord``, with their ``place``.
+
+    The shuffle itself is made on the driver, as equality with Python's needs; ``hashed_sample`` is the way without it.
+    """
     total = rows.count()
     places = list(range(total))
     random.Random(seed).shuffle(places)
     order = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(places[:n])], "at long, place long")
-    return rows.withColumn("at", F.row_number().over(Window.orderBy("ord")) - 1).join(order, "at").drop("at")
+    return numbered(rows).withColumnRenamed("place", "at").join(order, "at").drop("at")
 
 
 def hashed_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
