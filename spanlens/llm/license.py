@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 CUES = ("licen", "copyright", "spdx", "permission", "redistribut", "warrant", "public domain")
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAMES = r"^(licen[cs]e|copying|notice|copyright)([^a-z].*)?$"
@@ -52,7 +54,7 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     lines = files.select("file", text.alias("text")).where(cue("text"))
     lines = lines.select("file", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(cue("words"))
     terms = lines.select("file", "line", F.explode(F.regexp_extract_all(F.lower("words"), F.lit(f"({TERM})"), F.lit(1))).alias("term"))
-    tf = terms.groupBy("file", "line", "term").agg(F.count("*").alias("tf"))
+    tf = stored(terms.groupBy("file", "line", "term").agg(F.count("*").alias("tf")), "notices")  # read five times below
     vocabulary = _template_terms(templates)
     rows = F.array(*[F.struct(F.lit(t).alias("term"), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(c)).alias("tf")) for n, c in own.items()]).alias("own")) for t, own in vocabulary.items()])
     spark = files.sparkSession
