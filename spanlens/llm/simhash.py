@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import U, mix, raw, slices
-from .components import components, roots
+from .components import components, forest, roots
 from .shared import release, stored
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -303,7 +303,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = dealt.repartitionByRange("band", "key").sortWithinPartitions("band", "key", rank)
     links = stored(dealt.mapInArrow(_near_rows(limit, window), "a long, b long").distinct(), "links")
     release(docs.sparkSession)
-    root = components(links)
+    root = components(stored(forest(links), "forest"))
     named = prints.join(root, prints.low == root.node, "left").select(*names, F.coalesce("root", "low").alias("component_id"))
     return known.join(named, names).select(F.col("doc").alias(id_col), "component_id")
 
