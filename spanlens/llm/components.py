@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, stored
+from .shared import stored
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,10 +51,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b), root the smallest node reachable.
 
     Labels spread to neighbours and then jump to their label's label, so chains shorten by doubling. Each round is a
-    stored table; only the number of changed labels comes to the driver. Hubs are joined to one row a node, which
+    stored table; only whether any label changed comes to the driver. Hubs are joined to one row a node, which
     skew-join handling can split.
     """
-    spark = edges.sparkSession
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     while True:
@@ -64,8 +63,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = F.least("next", "then")
         after = stored(moved.join(jump, "next").select("node", low.alias("root"), (low != F.col("root")).alias("changed")), "labels")
         labels = after.select("node", "root")
-        changed = after.where("changed").limit(1).count()
-        release(spark)
-        if not changed:
+        if not after.where("changed").limit(1).count():
             return labels
 
