@@ -84,7 +84,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     takes: one entry per pass over the document, (pass, words, position); taken: their words. A source's takes add up
     to its rounded target: every document goes floor(target / size) times whole, and a hash of id and text orders the
     documents that fill the rest, the last of them in part. position is that of the first take, null without any; the
-    rows are range-sorted by it, null last. Null sources are one source, null texts have no words, null ids are kept;
+    rows are range-sorted by it, those without last. Null sources are one source, null texts have no words, null ids are kept;
     rows that repeat an id and a text are each placed, one after the other. The same input gives the same result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("dice"))
@@ -109,7 +109,8 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda total, t: total + t["words"])
     first = F.try_element_at("takes", F.lit(1))["position"]
     out = out.select(F.col("doc").alias(id_col), "source", "size", "source_size", "target", "takes", taken.alias("taken"), first.alias("position"), "goal", "dice")
-    return out.orderBy(F.col("position").asc_nulls_last(), id_col)
+    behind = 1 + F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / (1 << 20)  # rows without a take spread over many ranges
+    return out.orderBy(F.coalesce("position", behind + 1), id_col)
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **mix) -> DataFrame:
