@@ -60,12 +60,11 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     spark = files.sparkSession
     known = spark.range(1).select(F.explode(rows).alias("r")).select("r.term", "r.own")
     df = tf.join(F.broadcast(known.select("term")), "term").groupBy("term").agg(F.count("*").alias("df"))
-    notices = tf.agg(F.count_distinct("file", "line").alias("notices"))
-    idf = known.join(df, "term", "left").crossJoin(F.broadcast(notices)).select("term", "own", (F.log((1 + F.col("notices")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"), (F.log(1.0 + F.col("notices")) + 1).alias("rare"))
+    notices = tf.agg(F.count_distinct("file", "line")).first()[0]  # one number
+    rare = F.log(F.lit(1.0 + notices)) + 1
+    idf = known.join(df, "term", "left").select("term", "own", (F.log(F.lit(1.0 + notices) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
     length = idf.select("idf", F.explode("own").alias("o")).groupBy("o.name").agg(F.sqrt(F.sum(F.pow(F.col("o.tf") * F.col("idf"), 2))).alias("length"))
-    most = notices.select((F.log(1.0 + F.col("notices")) + 1).alias("rare"))
-    weighted = tf.join(F.broadcast(idf.select("term", "own", "idf")), "term", "left").crossJoin(F.broadcast(most))
-    weighted = weighted.withColumn("w", F.col("tf") * F.coalesce("idf", "rare"))
+    weighted = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
     norm = weighted.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.where("own is not null").select("file", "line", "w", "idf", F.explode("own").alias("o")).groupBy("file", "line", F.col("o.name").alias("name")).agg(F.sum(F.col("w") * F.col("o.tf") * F.col("idf")).alias("dot"))
     cosine = dots.join(norm, ["file", "line"]).join(F.broadcast(length), "name").select("file", "name", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6).alias("score")).where(F.col("score") >= threshold)

@@ -24,8 +24,8 @@ from .blocks import slices
 from .shared import batches_of
 from .tokens import load
 
-MAGIC, BLOCK, FRAME_TOKENS = b"SLT1", 1024, 1 << 21
-SLOTS, CLASS_BITS, REBUILD = 1024, 7, 256
+MAGIC, BLOCK, FRAME_TOKENS = b"SLT1", 1024, 1 << 22
+SLOTS, CLASS_BITS, REBUILD = 512, 7, 256
 SCALE_BITS, COUNT_BITS = 16, 13
 TOTAL_BITS = SCALE_BITS + CLASS_BITS
 SCALE = 1 << SCALE_BITS
@@ -144,7 +144,7 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndar
     steps = _turned(ids, np.int32)
     model = _Model(lanes, vocabulary)
     low, width = np.zeros(lanes, dtype=U), np.full(lanes, 2**64 - 1, dtype=U)
-    room = 2 * BLOCK + 2
+    room = BLOCK + 2  # at most a word for each id, and two at the end
     out, spots = np.zeros(lanes * room, dtype=np.uint32), np.arange(lanes) * room
     for now in steps:
         model.predict()

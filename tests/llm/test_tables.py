@@ -153,3 +153,15 @@ def test_copies_come_near_targets(spark):
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert copies(awkward(spark)).columns == awkward(spark).columns and copies(empty(spark)).count() == 0
     assert SF
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from spanlens.llm import shared
+
+    table = shared.stored(spark.range(3), "some")
+    path = shared._tables[-1].removeprefix("file://")
+    import os
+
+    assert table.count() == 3 and os.path.isdir(path)
+    shared.clear(spark)
+    assert not os.path.isdir(path) and not shared._tables
