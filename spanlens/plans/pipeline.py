@@ -57,8 +57,16 @@ def retrieve(train: Training, asked: DataFrame, o: Options, train_vectors: DataF
     raise ValueError(f"unknown retrieval {o.retrieval}")
 
 
-def run_icl(items: DataFrame, train: Training, retrieved: DataFrame, model: Callable, o: Options, **calls) -> DataFrame:
-    """Items with prompt, response and aligned predictions; rows whose call failed have an error and no entities."""
+def unchanged(items: DataFrame) -> DataFrame:
+    return items
+
+
+def run_icl(items: DataFrame, train: Training, retrieved: DataFrame, model: Callable, o: Options, before: Callable = unchanged, after: Callable = unchanged, **calls) -> DataFrame:
+    """Items with prompt, response and aligned predictions; rows whose call failed have an error and no entities.
+
+    ``before`` and ``after`` are hooks on the items that go in and on the result.
+    """
+    items = items.transform(before)
     asked = sentences_of(items)
     demos = train.sents.join(train.ents.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "name", "type"))).alias("ents")), "id", "left")
     prompt = prompts.icl_prompts(asked, demos, retrieved, o.template, o.types)
@@ -66,7 +74,7 @@ def run_icl(items: DataFrame, train: Training, retrieved: DataFrame, model: Call
     out = items.drop("icl_example_ids", "icl_prompt", "llm_response", "ent_list_pred").withColumn("key", F.col("id").cast("long"))
     out = out.join(prompt.withColumnRenamed("id", "key"), "key", "left").join(answers.withColumnRenamed("out", "llm_response"), "key", "left")
     named = PARSERS[o.template](F.coalesce("llm_response", F.lit("")))
-    return out.withColumn("ent_list_pred", as_entities(align.align_udf("tokens", named, "sentence"))).drop("key")
+    return out.withColumn("ent_list_pred", as_entities(align.align_udf("tokens", named, "sentence"))).drop("key").transform(after)
 
 
 def _spans(df: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
