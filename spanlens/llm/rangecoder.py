@@ -34,7 +34,8 @@ U, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
 #: First guesses that order 2 and order 1 are right, and what a weight pair gains if neither, order 2 or order 1 was.
 HIT2, HIT1, HALF = SCALE // 8, SCALE // 32, SCALE_BITS - 1
 STEPS = np.array([(1 << HALF) + 1, ((MOST2 >> 4) + 1 << HALF) + 1, (1 << HALF) + (MOST1 >> 4) + 1], dtype=np.int32)
-STATES, AGREE = 27, 27 * 2  # outcomes of three predictions, times agreement
+CACHE = 2_500_000, 800_000  # words and parts that the writer's tokenizer keeps; the writer holds little else
+STATES, AGREE = 64, 64 * 2  # outcomes of three predictions, two bits each, times agreement
 
 
 class _Model:
@@ -109,7 +110,7 @@ class _Model:
         self.weights[self.k] = self.w - fade + STEPS.take(self.won)
         self.two[self.i2] = ids
         self.one[self.i1] = ids
-        self.state = self.state % 9 * 3 + self.won
+        self.state = (self.state << 2 | self.won) & STATES - 1
         self.recent.append(ids)
         if len(self.recent) == REBUILD:
             self.rebuild()
@@ -232,7 +233,7 @@ def _frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, part = load(path), TaskContext.get().partitionId()
+        tokenizer, part = load(path, *CACHE), TaskContext.get().partitionId()
         docs, sizes, tokens, size, chunk, start = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:

@@ -17,16 +17,14 @@ import pyarrow as pa
 
 from .blocks import Words
 
-CACHE_WORDS, CACHE_PARTS = 1_500_000, 400_000
+CACHE_WORDS, CACHE_PARTS = 1_000_000, 300_000
 #: ASCII marks that form a word of their own behind letters; the apostrophe, which starts contractions, isn't one.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple, WordTokenizer] = {}
 
 
 def _core(stem: bytes) -> bytes | None:
-    """Lower case of a stem that the tokenizer takes as one run of letters; None where that isn't certain."""
-    if stem.isalpha():
-        return stem.lower()
+    """Lower case of a stem that the tokenizer takes as one run of letters, ASCII ones apart; None where it isn't sure."""
     if stem.isascii():
         return None
     try:
@@ -41,7 +39,10 @@ def _core(stem: bytes) -> bytes | None:
 
 
 class WordTokenizer:
-    def __init__(self, path: str) -> None:
+    """Keeps the ids of up to ``words`` words and ``parts`` of their parts (about 40 and 200 bytes each)."""
+
+    def __init__(self, path: str, words: int | None = None, parts: int | None = None) -> None:
+        self.most_words, self.most_parts = words or CACHE_WORDS, parts or CACHE_PARTS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,8 +55,18 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.parts: dict[bytes, bytes] = {}  # stems, tails and odd words to packed ids
-        self.keys, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words: hash (in order), bytes
-        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # known words: hash (in order), entry
+        self.words = self.used = 0  # entries, and ids in the pool; the arrays below have room to spare
+        self.length, self.size, self.start, self.pool = (np.zeros(0, kind) for kind in (np.int32, np.int32, np.int64, np.dtype("<u4")))
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Values from ``at`` on in an array that doubles when it is full."""
+        old = getattr(self, name)
+        if at + len(values) > len(old):
+            new = np.empty(2 * (at + len(values)), dtype=old.dtype)
+            new[:at] = old[:at]
+            setattr(self, name, new)
+        getattr(self, name)[at : at + len(values)] = values
 
     def _alone(self, words: list[bytes]) -> None:
         for start in range(0, len(words), 4096):
@@ -65,12 +76,12 @@ class WordTokenizer:
 
     def _packed(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, from its parts."""
-        if len(self.parts) > CACHE_PARTS:
+        if len(self.parts) > self.most_parts:
             self.parts.clear()
         known, split, alone, cores = self.parts, [], {}, {}
         for word in words:
             stem = word.rstrip(TAIL)
-            core = _core(stem)
+            core = stem.lower() if stem.isalpha() else _core(stem)
             if core is None:
                 core, tail = word, b""
                 if core not in known:
@@ -99,12 +110,14 @@ class WordTokenizer:
         """Enter new words in order of their hashes."""
         packed = self._packed(words)
         size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-        start = len(self.pool) + np.cumsum(size) - size
-        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         at = np.searchsorted(self.keys, keys)
-        for name, new in (("keys", keys), ("length", length), ("start", start), ("size", size)):
-            setattr(self, name, np.insert(getattr(self, name), at, new))
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(packed), dtype="<u4")])
+        self.keys = np.insert(self.keys, at, keys)
+        self.slot = np.insert(self.slot, at, np.arange(self.words, self.words + len(words), dtype=np.int32))
+        self._put("length", self.words, np.fromiter(map(len, words), dtype=np.int32, count=len(words)))
+        self._put("size", self.words, size)
+        self._put("start", self.words, self.used + np.cumsum(size) - size)
+        self._put("pool", self.used, np.frombuffer(b"".join(packed), dtype="<u4"))
+        self.words, self.used = self.words + len(words), self.used + int(size.sum())
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's closed by end_id, and the bounds of each text among them.
@@ -116,7 +129,7 @@ class WordTokenizer:
         first = np.zeros(len(distinct), dtype=np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         length = words.end[first] - words.start[first]
-        if len(self.keys) + len(distinct) > CACHE_WORDS:
+        if len(self.keys) + len(distinct) > self.most_words:
             self._clear()
         order = np.argsort(distinct)  # sorted look-ups stay in the processor's caches
         distinct, length, first = distinct[order], length[order], first[order]
@@ -128,12 +141,13 @@ class WordTokenizer:
             pick = first[new]
             self._learn(distinct[new], [data[a:b] for a, b in zip(words.start[pick].tolist(), words.end[pick].tolist(), strict=True)])
             own = np.searchsorted(self.keys, distinct)
+        own = self.slot[own]
         if (self.length[own] != length).any():  # another word with the hash is in the cache
             self._clear()
             return self.encode(column, end_id)
-        place = np.empty(len(order), dtype=np.int64)
+        place = np.empty(len(order), dtype=np.int32)
         place[order] = own
-        size, start = self.size[place][code], self.start[place][code]
+        size, start = self.size[place][code].astype(np.int64), self.start[place][code]
         upto = np.concatenate([[0], np.cumsum(size)])
         bounds = upto[words.first] + np.arange(len(words.first))
         out = np.empty(upto[-1] + words.rows, dtype="<u4")
@@ -145,8 +159,10 @@ class WordTokenizer:
         return out, bounds
 
 
-def load(path: str) -> WordTokenizer:
-    """One tokenizer, with its cache, for each worker process."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def load(path: str, words: int | None = None, parts: int | None = None) -> WordTokenizer:
+    """One tokenizer, with its cache, for each worker process and cache size."""
+    key = (path, words, parts)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = WordTokenizer(path, words, parts)
+    return _loaded[key]
