@@ -24,6 +24,7 @@ from .shared import release, stored
 from .tokens import load
 
 CLASSES, EPSILON, RANK_BUCKETS, MOST_ROUNDS = 128, 0.25, 256, 20_000
+CACHE = 500_000, 150_000  # words and parts that the tokenizer keeps: scans and windows need the memory
 
 
 def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
@@ -166,10 +167,10 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        tokenizer = load(path, *CACHE)
         names, types = ["doc", "piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 20):
                 flat, bounds = tokenizer.encode(batch.column(1).slice(a, b - a), end_id)
                 data, out, rows = memoryview(flat).cast("B"), [], []
                 for row, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -192,7 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pieces = stored(base.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc long, piece int, start long, length long, ids_crc32 long"), "pieces", 1000)
+    pieces = stored(base.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc long, piece int, start long, length long, ids_crc32 long"), "pieces", 500)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     sent = spark.sparkContext.broadcast(plan(histogram, capacity).arrays())
     rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)))
