@@ -210,9 +210,9 @@ MATCH = ROLES + f""", stats AS {stats_sql("id % 50 <> 0")}, dt AS (SELECT DISTIN
   SELECT q.id AS qid, d.id AS did, CAST(sum(CAST(round({WEIGHT}, 12) AS DECIMAL(28, 12))) AS DOUBLE) AS score FROM dt q JOIN stats USING (token) JOIN dt d USING (token) WHERE q.id % 50 = 0 AND q.id <> d.id AND token NOT IN {in_list(STOP_WORDS)} GROUP BY q.id, d.id)"""
 
 
-@query(f"WITH {MATCH} SELECT qid, did, round(score, 5) AS score FROM match")
+@query(f"WITH {MATCH} SELECT qid, did, score FROM match")
 def token_match_score(b: Base) -> DataFrame:
-    return retrieval.token_match(b.sents, b.asked, b.train_stats, O).select("qid", "did", F.round("score", 5).alias("score"))
+    return retrieval.token_match(b.sents, b.asked, b.train_stats, O).select("qid", "did", "score")
 
 
 POOL = f""", vec AS (SELECT vec_id, embedding FROM embeddings), vn AS (SELECT count(*) AS n FROM vec
