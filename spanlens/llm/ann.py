@@ -6,7 +6,9 @@ blocks of columns: after each, the partial distance, scaled to all columns, is t
 query's k-th best so far, and a candidate that fails the test is dropped. Survivors are measured exactly on the original
 vectors in double precision.
 
-Centroids come from a bounded sample; every vector is indexed. Lists are cut into blocks of vectors and of queries by
+Centroids come from a bounded sample; every vector is indexed. How many lists a query probes is measured, not set: on the
+sample, the least number of nearest lists that hold the wanted share of the true neighbours of sampled queries. A query's
+k best of the sample are candidates beside the lists', and a scan returns nothing below the k-th best of them. Lists are cut into blocks of vectors and of queries by
 their counts, so a list with a third of all vectors becomes many block pairs of bounded size.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-SAMPLE, LIST_ROWS, MOST_LISTS = 16_384, 1000, 2048
+SAMPLE, LIST_ROWS, MOST_LISTS, ASKED = 16_384, 1000, 2048, 512
 BLOCK_ROWS, QUERY_ROWS, COLUMNS, SLACK, SEED = 2048, 1024, 16, 2.1, 11
 
 
@@ -53,6 +55,28 @@ def _nearest(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(far, axis=1, kind="stable")[:, :n]
 
 
+def _probes(ids: np.ndarray, points: np.ndarray, qids: np.ndarray, queries: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
+    """Nearest lists to probe so that they hold ``recall`` of the k true neighbours, among the points, of the queries."""
+    own = _nearest(points, centres, 1)[:, 0]
+    places = []
+    for qid, q, order in zip(qids, queries, _nearest(queries, centres, len(centres)), strict=True):
+        score = np.where(ids == qid, -np.inf, points @ q)
+        best = np.argsort(-score, kind="stable")[: min(k, int((ids != qid).sum()))]
+        at = np.empty(len(centres), dtype=np.int64)
+        at[order] = np.arange(len(centres))
+        places.append(at[own[best]])
+    places = np.sort(np.concatenate(places)) if places else np.zeros(0, dtype=np.int64)
+    return int(places[ceil(recall * len(places)) - 1]) + 1 if len(places) else 1
+
+
+def _best(ids: np.ndarray, vectors: np.ndarray, qid: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best of the vectors, by score and then id."""
+    others = ids != qid
+    score, own = (vectors * query).sum(axis=1)[others], ids[others]
+    best = np.lexsort((own, -score))[:k]
+    return own[best], score[best]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -69,14 +93,14 @@ def _scan(dim: int, length2: float, k: int):
     cuts = [*range(0, dim + 1, COLUMNS), dim + 1]
     columns = list(zip(cuts, cuts[1:], strict=False))
 
-    def pair(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
+    def pair(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, leasts: np.ndarray) -> Iterator[tuple]:
         turned = _lift(vectors, length2) @ rotation
         parts = [np.ascontiguousarray(turned[:, a:b]) for a, b in columns]
         sizes = [(p * p).sum(axis=1) for p in parts]
         asked = _lift(queries, None) @ rotation
         order = np.argsort(ids, kind="stable")
         head = order[: 4 * k]
-        for qid, q, t in zip(qids, queries, asked, strict=True):
+        for qid, q, t, least in zip(qids, queries, asked, leasts, strict=True):
             whole = float(q @ q) + length2
             first = np.sort((vectors[head] * q).sum(axis=1))
             limit = whole - 2 * first[-min(k + 1, len(first))] if len(first) > k else np.inf
@@ -91,27 +115,29 @@ def _scan(dim: int, length2: float, k: int):
             alive = np.union1d(alive, head) if len(alive) < k + 1 else alive
             alive = alive[ids[alive] != qid]
             score = (vectors[alive] * q).sum(axis=1)
+            alive, score = alive[score >= least], score[score >= least]
             best = np.lexsort((ids[alive], -score))[:k]
             yield np.full(len(best), qid), ids[alive][best], score[best]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                ids, flat, qids, asked = (batch.column(i).slice(row, 1).flatten() for i in range(4))
+                ids, flat, qids, asked, leasts = (batch.column(i).slice(row, 1).flatten() for i in range(5))
                 vectors, queries = (x.to_numpy(zero_copy_only=False).reshape(-1, dim) for x in (flat, asked))
-                out = list(pair(ids.to_numpy(), vectors, qids.to_numpy(), queries))
+                out = list(pair(ids.to_numpy(), vectors, qids.to_numpy(), queries, leasts.to_numpy()))
                 columns_ = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = 0.25, least_probes: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = 0.25, least_probes: int = 6, recall: float = 0.95) -> DataFrame:
     """The k nearest found of each query: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
-    Both tables have id_col and vec_col; a query's own id is no candidate of it. Vectors that are null, empty, zero, hold
+    Both tables have id_col and vec_col; a query's own id is no candidate of it, and equal rows count once. Vectors that are null, empty, zero, hold
     null or non-finite components, or are not of the most common length take no part. Each query probes the nearest
-    ``probe_share`` of the lists (at least ``least_probes``, and as many as hold 4 k vectors).
+    ``probe_share`` of the lists (at least ``least_probes``, and as many as hold 4 k vectors), and more where the sample
+    shows that they hold less than ``recall`` of the neighbours.
     """
     spark = vectors.sparkSession
     base = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")), "v").where("id is not null")
@@ -123,9 +149,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return spark.createDataFrame([], schema)
     dim, rows, most = sizes["dim"], sizes["rows"], sizes["length2"]
     base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+
+    def sampled(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = df.orderBy(F.xxhash64("id"), "id").limit(n).select("id", "v").toArrow().combine_chunks()
+        return rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks(), dim)
+
     rotation = _rotation(dim + 1)
-    points = _lift(_matrix(sample, dim), most) @ rotation
+    ids, plain = sampled(base, SAMPLE)
+    points = _lift(plain, most) @ rotation
     lists = max(1, min(MOST_LISTS, round(rows / LIST_ROWS), len(points) // 8))
     centres = _kmeans(points, lists)
     sent = spark.sparkContext.broadcast(centres)
@@ -139,6 +170,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     counts = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # at most MOST_LISTS rows
     held = np.array([counts.get(i, 0) for i in range(lists)])
     probes = min(lists, max(least_probes, ceil(lists * probe_share)))
+    if probes < lists:
+        qids, tried = sampled(asked, ASKED)
+        probes = max(probes, _probes(ids, points, qids, _lift(tried, None) @ rotation, centres, k, recall))
+
+    known = spark.sparkContext.broadcast((ids, plain))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qid, query in zip(batch.column(0).to_numpy(), _matrix(batch.column(1), dim), strict=True):
+                own, score = _best(*known.value, qid, query, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid)), pa.array(own), pa.array(score)], ["query_id", "vec_id", "score"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,18 +189,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             enough = np.cumsum(held[order], axis=1) - held[order] < 4 * k
             enough[:, :probes] = True
             row, place = np.nonzero(enough & (held[order] > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(order[row, place], pa.int32()), *[c.take(pa.array(row)) for c in batch.columns]], ["list", "id", "v"])
+            scores = [_best(*known.value, *x, k)[1] for x in zip(batch.column(0).to_numpy(), _matrix(batch.column(1), dim), strict=True)]
+            least = np.array([x[-1] if len(x) == k else -np.inf for x in scores])
+            yield pa.RecordBatch.from_arrays([pa.array(order[row, place], pa.int32()), *[c.take(pa.array(row)) for c in batch.columns], pa.array(least[row])], ["list", "id", "v", "least"])
 
-    routed = stored(asked.mapInArrow(route, "list int, id long, v array<double>"), "probes")
+    routed = stored(asked.mapInArrow(route, "list int, id long, v array<double>, least double"), "probes")
 
-    def blocks(df: DataFrame, size: int, ids: str, flat: str) -> DataFrame:
+    def blocks(df: DataFrame, size: int, ids: str, flat: str, *more: str) -> DataFrame:
         parts = {r["list"]: ceil(r["count"] / size) for r in df.groupBy("list").count().collect()}
         cut = F.element_at(F.array(*[F.lit(parts.get(i, 1)) for i in range(lists)]), F.col("list") + 1)
         keyed = df.withColumn("block", F.pmod(F.xxhash64("id"), cut))
-        rows = keyed.groupBy("list", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        return rows.select("list", F.col("rows.id").alias(ids), F.flatten("rows.v").alias(flat))
+        rows = keyed.groupBy("list", "block").agg(F.collect_list(F.struct("id", "v", *more)).alias("rows"))
+        return rows.select("list", F.col("rows.id").alias(ids), F.flatten("rows.v").alias(flat), *[F.col(f"rows.{m}").alias(m) for m in more])
 
-    pairs = blocks(indexed, BLOCK_ROWS, "ids", "vs").join(blocks(routed, QUERY_ROWS, "qids", "qs"), "list")
-    found = pairs.select("ids", "vs", "qids", "qs").mapInArrow(_scan(dim, most, k), "query_id long, vec_id long, score double")
+    pairs = blocks(indexed, BLOCK_ROWS, "ids", "vs").join(blocks(routed, QUERY_ROWS, "qids", "qs", "least"), "list")
+    found = pairs.select("ids", "vs", "qids", "qs", "least").mapInArrow(_scan(dim, most, k), "query_id long, vec_id long, score double")
+    found = found.union(asked.mapInArrow(seen, "query_id long, vec_id long, score double")).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -50,6 +50,27 @@ def test_nearest_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("list_rows", [80, 50])
+def test_nearest_recall_over_many_lists(spark, monkeypatch, list_rows):
+    from spanlens.llm import ann
+
+    monkeypatch.setattr(ann, "LIST_ROWS", list_rows)  # 25 and 40 lists
+    monkeypatch.setattr(ann, "SAMPLE", 400)  # a fifth, so that most neighbours can only come from lists
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    out = nearest(vectors, vectors.where("vec_id % 20 = 0")).toPandas()
+    ids, data = zip(*[(r[0], r[1]) for r in vectors.orderBy("vec_id").collect()], strict=True)
+    ids, data = np.array(ids), np.array(data, dtype=np.float64)
+    hits = total = 0
+    for q, part in out.groupby("query_id"):
+        score = (data * data[np.searchsorted(ids, q)]).sum(axis=1)
+        score[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -score))[:20]]) & set(part["vec_id"]))
+        assert sorted(part["rank"]) == list(range(1, 21)) and part["vec_id"].nunique() == 20
+        total += 20
+    print(f"recall@20 {hits / total:.4f} with LIST_ROWS {list_rows}")
+    assert total == 20 * vectors.where("vec_id % 20 = 0").count() and hits >= 0.9 * total
+
+
 def test_nearest_takes_odd_vectors(spark):
     good = [(i, [float(i % 5 + 1), 2.0]) for i in range(60)]
     odd = [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [None, 1.0]), (180, [1.0]), (200, [math.inf, 1.0]), (None, [1.0, 1.0])]
