@@ -227,55 +227,143 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return known.join(named, "print").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-WORDS, BAND_BITS, MISS = 4, 18, 0.05
+WORDS, BAND_BITS, MISS, SMALL_KEY, KEY_BLOCK = 4, 18, 0.05, 32, 2048
 
 
-def _near_rows(limit: int, window: int):
-    """Links of rows sorted by (band, key, rank): each row against the next few of its key, and the key's first row."""
+def _close(one: np.ndarray, two: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (index of one, index of two) within the limit, of all pairs, a few rows at a time."""
+    columns = [np.ascontiguousarray(two[:, w]) for w in range(WORDS)]
+    step = max(1, (1 << 20) // len(two))
+    for start in range(0, len(one), step):
+        part = one[start : start + step]
+        gone = np.zeros((len(part), len(two)), dtype=np.uint16)
+        for w, column in enumerate(columns):
+            gone += np.bitwise_count(part[:, w, None] ^ column)
+        x, y = np.nonzero(gone <= limit)
+        yield x + start, y
+
+
+def _stars(ids: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smallest id) with the components of the pairs a[i], b[i] of indexes."""
+    names, number = np.unique(ids, return_inverse=True)
+    label = names[roots(len(names), number[np.concatenate(a)], number[np.concatenate(b)])] if a else names
+    other = label != names
+    return names[other], label[other]
+
+
+NEAR_SCHEMA = "a long, b long, band int, key long, block int, ids binary, prints binary"
+
+
+def _near_rows(limit: int):
+    """Of rows (band, key, id, prints) sorted by band and key: links, and blocks of the keys too large for one.
+
+    All pairs of one key are compared, except those across two blocks, which ``_near_blocks`` compares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: list[np.ndarray] | None = None  # the first row of the open key, then its last rows
-        for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + WORDS)]
-            if tail is not None:
-                rows = [np.concatenate([x, y]) for x, y in zip(tail, rows, strict=True)]
-            band, key, doc = rows[:3]
+        pending, cut = None, 0  # rows of the open key, and how many blocks of it are out
+        schema = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["a", "b", "band", "key", "block", "ids", "prints"]
+
+        def work(rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal pending, cut
+            band, key, ids = rows[:3]
             prints = np.stack(rows[3:], axis=1).view(U)
-            head = np.ones(len(doc), dtype=bool)
+            head = np.ones(len(ids), dtype=bool)
             head[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
-            first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            a, b = [], []
-            for step in range(1, min(window, len(doc) - 1) + 1):
-                at = np.flatnonzero(first[step:] <= np.arange(len(doc) - step))
-                if not len(at):
+            at = np.append(np.flatnonzero(head), len(ids))
+            a, b, blocks, open_at = [], [], [], len(ids)
+            for g in np.flatnonzero((np.diff(at) > SMALL_KEY) | (np.arange(len(at) - 1) == len(at) - 2) | ((np.arange(len(at) - 1) == 0) & (cut > 0))):
+                start, end = int(at[g]), int(at[g + 1])
+                done, still = (cut if g == 0 else 0), g == len(at) - 2 and not last
+                if still:
+                    open_at = end - (end - start) % KEY_BLOCK
+                    end = open_at
+                for low in range(start, end, KEY_BLOCK):
+                    own = slice(low, min(end, low + KEY_BLOCK))
+                    for x, y in _close(prints[own], prints[own], limit):
+                        a.append(x[x < y] + low)
+                        b.append(y[x < y] + low)
+                    if done or still or end - start > KEY_BLOCK:  # the last rows of a cut key, even one row, are a block
+                        blocks.append((int(band[low]), int(key[low]), done, ids[own].tobytes(), prints[own].tobytes()))
+                        done += 1
+                if g == len(at) - 2:
+                    cut = done if still else 0
+            sizes = np.diff(at)
+            few = (sizes <= SMALL_KEY) & (sizes > 1)
+            few[-1] = False
+            small = np.repeat(few, sizes)
+            end_of = np.repeat(at[1:], sizes)
+            for step in range(1, SMALL_KEY):
+                here = np.flatnonzero(small & (np.arange(len(ids)) + step < end_of))
+                if not len(here):
                     break
-                a.append(at)
-                b.append(at + step)
-            at = np.flatnonzero(np.arange(len(doc)) - first > window)
-            a, b = np.concatenate([*a, first[at]]) if a else first[at], np.concatenate([*b, at]) if b else at
-            near = np.zeros(len(a), dtype=bool)
-            for start in range(0, len(a), 1 << 18):
-                x, y = prints[a[start : start + (1 << 18)]], prints[b[start : start + (1 << 18)]]
-                near[start : start + (1 << 18)] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
-            names, number = np.unique(doc, return_inverse=True)
-            label = names[roots(len(names), number[a[near]], number[b[near]])]
-            other = label != names
-            yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(label[other])], ["a", "b"])
-            keep = np.arange(max(first[-1] + 1, len(doc) - window), len(doc))
-            keep = np.concatenate([first[-1:], keep])
-            tail = [x[keep] for x in rows]
+                near = np.bitwise_count(prints[here] ^ prints[here + step]).sum(axis=1, dtype=np.int64) <= limit
+                a.append(here[near])
+                b.append(here[near] + step)
+            pending = [x[open_at:] for x in rows]
+            x, y = _stars(ids, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *[pa.nulls(len(x), t) for t in schema[2:]]], names)
+            for block in blocks:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, *block), schema, strict=True)], names)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + WORDS)]
+            if pending is not None and len(pending[0]):
+                if cut and (pending[0][-1], pending[1][-1]) != (rows[0][0], rows[1][0]):
+                    yield from work(pending, True)
+                else:
+                    rows = [np.concatenate([x, y]) for x, y in zip(pending, rows, strict=True)]
+            elif cut and (rows[0][0], rows[1][0]) != open_key:
+                cut = 0
+            open_key = (rows[0][-1], rows[1][-1])
+            yield from work(rows, False)
+        if pending is not None and len(pending[0]):
+            yield from work(pending, True)
+
+    return run
+
+
+def _near_blocks(limit: int):
+    """Links of all pairs across two blocks of one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                ids = [np.frombuffer(x, dtype=np.int64) for x in row[:2]]
+                one, two = (np.frombuffer(x, dtype=U).reshape(-1, WORDS) for x in row[2:])
+                near = [(x, y + len(one)) for x, y in _close(one, two, limit)]
+                x, y = _stars(np.concatenate(ids), [n[0] for n in near], [n[1] for n in near])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     return run
 
 
+def near_links(dealt: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) with the components of all pairs within the limit among the rows of each key.
+
+    ``dealt`` has band, key, an id and WORDS columns of bits. The blocks of a key that fills more than one are paired
+    and the pairs dealt out anew, so that no task compares a large key alone.
+    """
+    dealt = dealt.repartitionByRange("band", "key").sortWithinPartitions("band", "key")
+    out = stored(dealt.mapInArrow(_near_rows(limit), NEAR_SCHEMA), "near")
+    blocks = out.where("block is not null")
+    one, two = blocks.alias("one"), blocks.alias("two")
+    same = (F.col("one.band") == F.col("two.band")) & (F.col("one.key") == F.col("two.key")) & (F.col("one.block") < F.col("two.block"))
+    pairs = one.join(two, same).select("one.ids", F.col("two.ids").alias("ids2"), "one.prints", F.col("two.prints").alias("prints2"), "one.band", "one.key", "one.block", F.col("two.block").alias("block2"))
+    pairs = pairs.repartition("band", "key", "block", "block2").select("ids", "ids2", "prints", "prints2")
+    return out.where("block is null").select("a", "b").union(pairs.mapInArrow(_near_blocks(limit), "a long, b long"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, component_id) of near duplicates: ``similarity`` or more of their ``width``-word shingles (Jaccard).
 
     Four words of SimHash bits estimate the similarity; the limit of differing bits is that of ``similarity`` and 1.6
     standard deviations more. Candidates agree on all sampled bits of some band; bands are as many as leave a pair at
-    the similarity unseen with probability MISS. In a band, rows of one key are put in Gray order, and each is held
-    against the next ones (all of a key of usual size) and against the key's first row, so a key of any size takes
-    linear work and bounded memory. Rows without an id take no part.
+    the similarity unseen with probability MISS. In a band, all rows of one key are held against each other, those of
+    a large key in pairs of blocks of bounded size. Rows without an id take no part.
     """
     differ = acos(2 * similarity / (1 + similarity)) / pi
     bits = 64 * WORDS
@@ -287,7 +375,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = prints.count()
     size = max(BAND_BITS, ceil(log2(max(2, distinct))) - 6)
     bands = ceil(log(MISS) / log(1 - (1 - differ) ** size))
-    window = max(16, 4 * ceil(distinct / 2**size))
     rng = np.random.default_rng(5)
     masks = np.zeros((bands, WORDS), dtype="<u8")
     for band in masks:
@@ -296,12 +383,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = F.array(*[F.struct(F.lit(i).alias("band"), *[F.lit(_signed(int(m[j]))).alias(f"m{j}") for j in range(WORDS)]) for i, m in enumerate(masks)])
     dealt = prints.withColumn("b", F.explode(rows))
     key = F.xxhash64(*[F.col(n).bitwiseAND(F.col(f"b.m{j}")) for j, n in enumerate(names)])
-    rank = F.col("f0")
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    dealt = dealt.select("b.band", key.alias("key"), "low", *names)
-    dealt = dealt.repartitionByRange("band", "key").sortWithinPartitions("band", "key", rank)
-    links = stored(dealt.mapInArrow(_near_rows(limit, window), "a long, b long").distinct(), "links")
+    links = stored(near_links(dealt.select("b.band", key.alias("key"), "low", *names), limit).distinct(), "links")
     release(docs.sparkSession)
     root = components(stored(forest(links), "forest"))
     named = prints.join(root, prints.low == root.node, "left").select(*names, F.coalesce("root", "low").alias("component_id"))

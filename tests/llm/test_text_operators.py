@@ -151,6 +151,19 @@ def test_near_duplicates(spark):
     assert near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size", [5000, 2049, 40])
+def test_every_pair_of_a_large_key_is_compared(spark, size):
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 2**63, (size, 4))
+    half = size // 2
+    prints[half : 2 * half] = prints[:half] ^ rng.permuted(np.tile([1 << 61, 3, 5, 0], (half, 1)), axis=1)  # 5 bits apart, all else about 128
+    rows = [(0, key, int(i) + size * (key == 9), *map(int, p)) for key in (7, 9) for i, p in enumerate(prints)]
+    rows += [(1, key, -key, 0, 0, 0, 0) for key in range(1, 20)]
+    dealt = spark.createDataFrame(rows, "band int, key long, low long, f0 long, f1 long, f2 long, f3 long").coalesce(1)
+    links = {(r["b"], r["a"]) for r in simhash.near_links(dealt, 47).collect()}
+    assert links == {(i + at, i + half + at) for i in range(half) for at in (0, size)}
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = langid.train(docs.where(~langid.held_out()))
