@@ -45,31 +45,38 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)]
 
 
-def fingerprints(texts: list[bytes], width: int, words: int = 1) -> np.ndarray:
-    """A bit is 1 if it is set in over half of the shingle hashes; ``words`` columns of 64 bits, the first of XXH64."""
-    out = np.zeros((len(texts), words), dtype="<u8")
+def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)]
+        more = [part, *[mix(part + U(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(1, words)]]
+        bits = np.unpackbits(np.stack(more, axis=1).view(np.uint8), axis=1, bitorder="little")
+        for low in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            ones += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprints(texts: list[bytes], width: int) -> np.ndarray:
+    """A bit is 1 if it is set in over half of the shingle hashes (XXH64)."""
+    out = np.zeros((len(texts), 1), dtype="<u8")
     for row, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, width), dtype="<u8")
-        ones = np.zeros(64 * words, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 14):
-            part = hashes[at : at + (1 << 14)]
-            more = [part, *[mix(part + U(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(1, words)]]
-            bits = np.unpackbits(np.stack(more, axis=1).view(np.uint8), axis=1, bitorder="little")
-            for low in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-                ones += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
-        out[row] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+        out[row] = _majority(np.array(shingle_hashes(text, width), dtype="<u8"), 1)
     return out
 
 
-def _fingerprint_rows(width: int, words: int = 1):
+def set_print(shingles: np.ndarray) -> np.ndarray:
+    """WORDS words of bits of a set of shingle hashes, each counted once."""
+    return _majority(shingles, WORDS)
+
+
+def _fingerprint_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 data, at = raw(batch.column(1).slice(a, b - a))
                 data = data.tobytes()
-                prints = fingerprints([data[at[i] : at[i + 1]] for i in range(b - a)], width, words).view(np.int64)
-                names = ["doc", *(["print"] if words == 1 else [f"f{i}" for i in range(words)])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(np.ascontiguousarray(prints[:, i])) for i in range(words)]], names)
+                prints = fingerprints([data[at[i] : at[i + 1]] for i in range(b - a)], width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.ascontiguousarray(prints[:, 0]))], ["doc", "print"])
 
     return run
 
@@ -227,7 +234,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return known.join(named, "print").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-WORDS, BAND_BITS, MISS, SMALL_KEY, KEY_BLOCK = 4, 18, 0.05, 32, 2048
+WORDS, BAND_BITS, MISS, SMALL_KEY, KEY_BLOCK, SET_BYTES = 4, 18, 0.01, 32, 2048, 1 << 22
 
 
 def _close(one: np.ndarray, two: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -357,21 +364,93 @@ def near_links(dealt: DataFrame, limit: int) -> DataFrame:
     return out.where("block is null").select("a", "b").union(pairs.mapInArrow(_near_blocks(limit), "a long, b long"))
 
 
+def _shingle_rows(width: int, sets: bool):
+    """(doc, node) of each text, node being a hash of its set of shingles, with the set or else its WORDS of bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                data, at = raw(batch.column(1).slice(a, b - a))
+                data = data.tobytes()
+                own = [np.unique(np.array(shingle_hashes(data[at[i] : at[i + 1]], width), dtype=U)) for i in range(b - a)]
+                node = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], dtype=U).view(np.int64))
+                if sets:
+                    rest, names = [pa.array([x.tobytes() for x in own], pa.binary())], ["set"]
+                else:
+                    prints = np.stack([set_print(x) for x in own]).view(np.int64)
+                    rest, names = [pa.array(np.ascontiguousarray(prints[:, i])) for i in range(WORDS)], [f"f{i}" for i in range(WORDS)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), node, *rest], ["doc", "node", *names])
+
+    return run
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (index, index) with the components of all pairs of sets whose Jaccard is ``similarity`` or more.
+
+    Each set is held once against all that no set has reached yet, which leaves no pair out: those reached before are
+    in a component already.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    parts = [number[at[i] : at[i + 1]] for i in range(len(sets))]
+    marked = np.zeros(int(number.max(initial=-1)) + 1, dtype=bool)
+    left = np.arange(len(sets))
+    flat = number
+    a, b, queue = [], [], []
+    while len(left):
+        if not queue:
+            if len(left) == 1:
+                break
+            queue.append(int(left[0]))
+            left, flat = left[1:], flat[sizes[left[0]] :]
+        one = queue.pop()
+        marked[parts[one]] = True
+        both = np.add.reduceat(np.append(marked[flat], False), np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+        both[sizes[left] == 0] = 0
+        marked[parts[one]] = False
+        either = sizes[one] + sizes[left] - both
+        near = both >= similarity * either - 1e-9
+        if near.any():
+            a += [one] * int(near.sum())
+            b += left[near].tolist()
+            queue += left[near].tolist()
+            flat = flat[np.repeat(~near, sizes[left])]
+            left = left[~near]
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+def _verified(similarity: float):
+    """Links of the sets in one block, or in two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                nodes = np.array([n for i in range(0, batch.num_columns, 2) for n in batch.column(i)[row].as_py()], dtype=np.int64)
+                sets = [np.frombuffer(x, dtype=U) for i in range(1, batch.num_columns, 2) for x in batch.column(i)[row].as_py()]
+                a, b = linked(sets, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+    return run
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, component_id) of near duplicates: ``similarity`` or more of their ``width``-word shingles (Jaccard).
 
-    Four words of SimHash bits estimate the similarity; the limit of differing bits is that of ``similarity`` and 1.6
-    standard deviations more. Candidates agree on all sampled bits of some band; bands are as many as leave a pair at
-    the similarity unseen with probability MISS. In a band, all rows of one key are held against each other, those of
-    a large key in pairs of blocks of bounded size. Rows without an id take no part.
+    Four words of SimHash bits of the set of shingles find candidates; the limit of differing bits is that of
+    ``similarity`` and 2.6 standard deviations more. Bands are as many as leave a pair at the similarity unseen with
+    probability MISS. In a band, all rows of one key are held against each other, those of a large key in pairs of
+    blocks of bounded size. In each component of candidates, the Jaccard of all pairs decides what is linked; a large
+    component is cut into blocks of about SET_BYTES, which are compared in pairs. Texts of equal sets are one node.
+    Rows without an id take no part.
     """
     differ = acos(2 * similarity / (1 + similarity)) / pi
     bits = 64 * WORDS
-    limit = int(bits * differ + 1.6 * sqrt(bits * differ * (1 - differ)))
+    limit = int(bits * differ + 2.6 * sqrt(bits * differ * (1 - differ)))
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     names = [f"f{i}" for i in range(WORDS)]
-    known = stored(base.mapInArrow(_fingerprint_rows(width, WORDS), "doc long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
-    prints = stored(known.groupBy(*names).agg(F.min("doc").alias("low")), "prints")
+    known = stored(base.mapInArrow(_shingle_rows(width, False), "doc long, node long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    prints = stored(known.groupBy("node", *names).agg(F.min("doc").alias("low")), "prints")
     distinct = prints.count()
     size = max(BAND_BITS, ceil(log2(max(2, distinct))) - 6)
     bands = ceil(log(MISS) / log(1 - (1 - differ) ** size))
@@ -383,11 +462,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = F.array(*[F.struct(F.lit(i).alias("band"), *[F.lit(_signed(int(m[j]))).alias(f"m{j}") for j in range(WORDS)]) for i, m in enumerate(masks)])
     dealt = prints.withColumn("b", F.explode(rows))
     key = F.xxhash64(*[F.col(n).bitwiseAND(F.col(f"b.m{j}")) for j, n in enumerate(names)])
-    links = stored(near_links(dealt.select("b.band", key.alias("key"), "low", *names), limit).distinct(), "links")
+    candidates = stored(near_links(dealt.select("b.band", key.alias("key"), "node", *names), limit).distinct(), "candidates")
     release(docs.sparkSession)
+    group = components(stored(forest(candidates), "forest")).withColumnRenamed("root", "part")
+    links = stored(verified_links(base, prints.join(group, "node").select("node", "low", "part"), width, similarity).distinct(), "links")
     root = components(stored(forest(links), "forest"))
-    named = prints.join(root, prints.low == root.node, "left").select(*names, F.coalesce("root", "low").alias("component_id"))
-    return known.join(named, names).select(F.col("doc").alias(id_col), "component_id")
+    whole = prints.select("node", "low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = whole.join(whole.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
+    return known.select("doc", "node").join(named, "node").select(F.col("doc").alias(id_col), "component_id")
+
+
+def verified_links(base: DataFrame, group: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) with the components of all pairs at the similarity, of nodes in the same part.
+
+    ``base`` has doc and text, ``group`` each node with a document ``low`` that holds it, and its part.
+    """
+    texts = base.join(group.select(F.col("low").alias("doc")).distinct(), "doc", "left_semi")
+    sets = texts.mapInArrow(_shingle_rows(width, True), "doc long, node long, set binary").join(group.select("node", "low", "part"), "node")
+    sets = stored(sets.where("doc = low").select("part", "node", "set"), "sets", 500)
+    cuts = sets.groupBy("part").agg(F.ceil(F.sum(F.length("set")) / SET_BYTES).cast("int").alias("cuts"))
+    placed = sets.join(cuts, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("cuts", F.lit(1))))
+    blocks = placed.groupBy("part", "block").agg(F.any_value("cuts").alias("cuts"), F.collect_list(F.struct("node", "set")).alias("rows"))
+    blocks = stored(blocks.select("part", "block", "cuts", F.col("rows.node").alias("nodes"), F.col("rows.set").alias("sets")), "set_blocks", 16)
+    inside = blocks.where("cuts <= 1").select("nodes", "sets").mapInArrow(_verified(similarity), "a long, b long")
+    one, two = blocks.where("cuts > 1").alias("one"), blocks.where("cuts > 1").alias("two")
+    # a block also meets itself, for parts of which all sets fell into one block
+    same = (F.col("one.part") == F.col("two.part")) & (F.col("one.block") <= F.col("two.block"))
+    pairs = one.join(two, same).select("one.part", "one.block", F.col("two.block").alias("block2"), "one.nodes", "one.sets", F.col("two.nodes").alias("nodes2"), F.col("two.sets").alias("sets2"))
+    pairs = pairs.repartition("part", "block", "block2").select("nodes", "sets", "nodes2", "sets2")
+    return inside.union(pairs.mapInArrow(_verified(similarity), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -164,6 +164,33 @@ def test_every_pair_of_a_large_key_is_compared(spark, size):
     assert links == {(i + at, i + half + at) for i in range(half) for at in (0, size)}
 
 
+@pytest.mark.parametrize("set_bytes", [1 << 22, 20_000])
+def test_near_groups_by_real_similarity(spark, monkeypatch, set_bytes):
+    """Pairs a little above 0.8 are linked and pairs below are not, at sizes and repeats that SimHash gets wrong."""
+    monkeypatch.setattr(simhash, "SET_BYTES", set_bytes, raising=False)
+    rng = random.Random(3)
+    rows, i = [], 0
+    wanted = {}
+    for base, (cut, low) in enumerate([(cut, low) for cut, low in ((0.105, 0.8), (0.17, 0.6), (0.2, 0.6)) for _ in range(150)]):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        other = words[: int(len(words) * (1 - cut))] + [f"v{rng.randrange(10**6)}" for _ in range(int(len(words) * cut))]
+        sets = [set(simhash.shingle_hashes(" ".join(w).encode(), 5)) for w in (words, other)]
+        wanted[i] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert wanted[i] >= low
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+        i += 2
+    line = "the same line again and again in all of these texts "
+    rows += [(i + j, line * 40 + " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for j in range(30)]
+    family = [f"t{j}" for j in range(100)]
+    rows += [(i + 30 + j, " ".join([*family, f"x{j}", f"y{j}"])) for j in range(60)]
+    groups = {r[0]: r[1] for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    high = [groups[j + 1] == j for j, s in wanted.items() if s >= 0.8]
+    low = [groups[j + 1] == j for j, s in wanted.items() if s < 0.8]
+    print(f"linked: {sum(high)} of {len(high)} at 0.8 or more (from {min(s for s in wanted.values() if s >= 0.8):.3f}), {sum(low)} of {len(low)} from {min(wanted.values()):.3f} to below 0.8; {30 - len({groups[i + j] for j in range(30)})} of 30 by a line")
+    assert len(groups) == len(rows) and sum(high) >= 0.95 * len(high) and not any(low)
+    assert all(groups[i + j] == i + j for j in range(30)) and all(groups[i + 30 + j] == i + 30 for j in range(60))
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = langid.train(docs.where(~langid.held_out()))
