@@ -120,14 +120,14 @@ class GrayIndex:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut rows sorted by (part, key, rank) into blocks of one key; lone fingerprints inside the partition go."""
+    """Cut rows sorted by (part, key, rank) into blocks of one key; lone fingerprints of keys inside the partition go."""
     from pyspark import TaskContext
 
-    base, count, pending, first = TaskContext.get().partitionId() << 32, 0, None, True
+    base, count, pending, first, done = TaskContext.get().partitionId() << 32, 0, None, True, None  # done: key of the last block
     names = ["part", "key", "block", "low", "shared", "prints"]
 
     def cut(part: np.ndarray, key: np.ndarray, prints: np.ndarray, last: bool) -> tuple[list, tuple]:
-        nonlocal count, first
+        nonlocal count, first, done
         head = np.ones(len(part), dtype=bool)
         head[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1])
         at = np.append(np.flatnonzero(head), len(part))
@@ -137,7 +137,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if i == len(at) - 2 and not last:
                 open_at = b - (b - a) % BLOCK if b - a >= BLOCK else a
                 b = open_at
-            elif b - a == 1 and not first and not last:
+            elif b - a == 1 and not first and not last and (part[a], key[a]) != done:
                 continue
             for s in range(a, b, BLOCK):
                 own = prints[s : min(b, s + BLOCK)]
@@ -145,7 +145,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((int(part[a]), int(key[a]), base + count, int(low.view(np.int64)), int((~(low ^ high)).view(np.int64)), own.tobytes()))
                 count += 1
             if b > a:
-                first = False
+                first, done = False, (part[a], key[a])
         return out, (part[open_at:], key[open_at:], prints[open_at:])
 
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

@@ -151,6 +151,18 @@ def test_near_duplicates(spark):
     assert near_duplicates(empty(spark)).count() == 0
 
 
+def test_last_row_of_a_cut_key_is_kept(monkeypatch):
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array([k for k, _ in rows]), pa.array([p for _, p in rows])], ["part", "key", "print"])
+    rows = [[(1, p) for p in range(9)], [(2, 20), (2, 21), (3, 30), (4, 40), (4, 41)]]  # two whole blocks and one row, then other keys
+    found = defaultdict(list)
+    for out in simhash._blocks(iter(map(batch, rows))):
+        for r in out.to_pylist():
+            found[r["key"]] += np.frombuffer(r["prints"], dtype=np.int64).tolist()
+    assert found == {1: list(range(9)), 2: [20, 21], 4: [40, 41]}  # the lone print of key 3 goes
+
+
 @pytest.mark.parametrize("size", [5000, 2049, 40])
 def test_every_pair_of_a_large_key_is_compared(spark, size):
     rng = np.random.default_rng(4)
