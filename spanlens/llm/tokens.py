@@ -14,28 +14,42 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .blocks import Words
+from .blocks import Words, raw
 
 CACHE_WORDS, CACHE_PARTS = 1_000_000, 300_000
 #: ASCII marks that form a word of their own behind letters; the apostrophe, which starts contractions, isn't one.
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[tuple, WordTokenizer] = {}
+_stable = np.zeros(0x110000, dtype=np.int8)  # by code point: 1 a letter that stays one, 2 not, 0 not looked at yet
 
 
-def _core(stem: bytes) -> bytes | None:
-    """Lower case of a stem that the tokenizer takes as one run of letters, ASCII ones apart; None where it isn't sure."""
-    if stem.isascii():
-        return None
+def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Strings of the byte ranges; what isn't UTF-8 is replaced."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+    out = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(flat))
     try:
-        text = stem.decode()
-    except UnicodeDecodeError:
-        return None
-    if "\u03a3" in text:  # Python lowers a capital sigma by its place in the word
-        return None
-    low = text.lower()
-    plain = text.isalpha() and low.isalpha() and len(low) == len(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
-    return low.encode() if plain else None
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        data = flat.tobytes()
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.large_string())
+    return out
+
+
+def _letters(stems: pa.Array) -> np.ndarray:
+    """Whether a stem consists of letters that stay letters when they are composed and put in lower case."""
+    out = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False).copy()
+    other = np.flatnonzero(out & ~pc.string_is_ascii(stems).to_numpy(zero_copy_only=False))
+    if len(other):
+        part = stems.take(pa.array(other))
+        size = pc.utf8_length(part).to_numpy()
+        points = np.frombuffer(raw(part)[0].tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        for point in np.flatnonzero((np.bincount(points) > 0) & (_stable[: int(points.max()) + 1] == 0)).tolist():
+            _stable[point] = 1 if unicodedata.normalize("NFC", chr(point)).lower().isalpha() else 2
+        out[other] = ~np.logical_or.reduceat(_stable[points] == 2, np.cumsum(size) - size)
+    return out
 
 
 class WordTokenizer:
@@ -54,7 +68,7 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.parts: dict[bytes, bytes] = {}  # stems, tails and odd words to packed ids
+        self.parts: dict[str, bytes] = {}  # stems, tails and odd words to packed ids
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # known words: hash (in order), entry
         self.words = self.used = 0  # entries, and ids in the pool; the arrays below have room to spare
         self.length, self.size, self.start, self.pool = (np.zeros(0, kind) for kind in (np.int32, np.int32, np.int64, np.dtype("<u4")))
@@ -68,56 +82,76 @@ class WordTokenizer:
             setattr(self, name, new)
         getattr(self, name)[at : at + len(values)] = values
 
-    def _alone(self, words: list[bytes]) -> None:
+    def _alone(self, words: list[str]) -> None:
         for start in range(0, len(words), 4096):
             part = words[start : start + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.parts.update((w, np.array(f.ids, dtype="<u4").tobytes()) for w, f in zip(part, found, strict=True))
 
-    def _packed(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, from its parts."""
-        if len(self.parts) > self.most_parts:
-            self.parts.clear()
-        known, split, alone, cores = self.parts, [], {}, {}
-        for word in words:
-            stem = word.rstrip(TAIL)
-            core = stem.lower() if stem.isalpha() else _core(stem)
-            if core is None:
-                core, tail = word, b""
-                if core not in known:
-                    alone[core] = None
-            else:
-                tail = word[len(stem) :]
-                if core not in known:
-                    cores[core] = None
-                if tail and tail not in known:
-                    alone[tail] = None
-            split.append((core, tail))
-        names = list(cores)
-        for start in range(0, len(names), 8192):
-            part = names[start : start + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _together(self, stems: list[str]) -> None:
+        """Runs of letters, joined by spaces."""
+        for start in range(0, len(stems), 8192):
+            part = stems[start : start + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):  # some letter that the tokenizer takes apart
-                self._alone(part)
+                if len(part) > 16:
+                    half = len(part) // 2
+                    self._together(part[:half])
+                    self._together(part[half:])
+                else:
+                    self._alone(part)
                 continue
             packed, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-            known.update(zip(part, map(packed.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-        self._alone(list(alone))
-        return [known[core] + known[tail] if tail else known[core] for core, tail in split]
-
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Enter new words in order of their hashes."""
-        packed = self._packed(words)
+            self.parts.update(zip(part, map(packed.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+
+    def _pooled(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and size of the ids of each part in a pool, and the pool."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = np.fromiter((n not in self.parts for n in names), dtype=bool, count=len(names))
+        letters = _letters(coded.dictionary)
+        self._together([names[i] for i in np.flatnonzero(new & letters).tolist()])
+        self._alone([names[i] for i in np.flatnonzero(new & ~letters).tolist()])
+        packed = list(map(self.parts.__getitem__, names))
         size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        code = coded.indices.to_numpy()
+        return (np.cumsum(size) - size)[code], size[code], np.frombuffer(b"".join(packed), dtype="<u4")
+
+    def _packed(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids: those of its letters and of the marks that close it, or of it whole.
+
+        Capitals of ASCII letters don't count, as the tokenizer ignores case.
+        """
+        if len(self.parts) > self.most_parts:
+            self.parts.clear()
+        stems = pc.utf8_rtrim(words, characters=TAIL)
+        core = pc.if_else(pa.array(_letters(stems)), pc.ascii_lower(stems), words)
+        whole, kept = (pc.binary_length(x).to_numpy() for x in (words, core))
+        data, at = raw(words)
+        start, size, pool = self._pooled(core)
+        tail = np.flatnonzero(kept < whole)
+        starts, sizes = np.zeros((len(words), 2), dtype=np.int64), np.zeros((len(words), 2), dtype=np.int64)
+        starts[:, 0], sizes[:, 0] = start, size
+        if len(tail):
+            start, size, more = self._pooled(_cut(data, at[tail] + kept[tail], whole[tail] - kept[tail]))
+            starts[tail, 1], sizes[tail, 1] = start + len(pool), size
+            pool = np.concatenate([pool, more])
+        flat = sizes.reshape(-1)
+        upto = np.cumsum(flat) - flat
+        return sizes.sum(axis=1), pool[np.repeat(starts.reshape(-1) - upto, flat) + np.arange(int(flat.sum()))]
+
+    def _learn(self, keys: np.ndarray, words: pa.Array, length: np.ndarray) -> None:
+        """Enter new words, of ``length`` bytes each, in order of their hashes."""
+        size, ids = self._packed(words)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.slot = np.insert(self.slot, at, np.arange(self.words, self.words + len(words), dtype=np.int32))
-        self._put("length", self.words, np.fromiter(map(len, words), dtype=np.int32, count=len(words)))
+        self._put("length", self.words, length)
         self._put("size", self.words, size)
         self._put("start", self.words, self.used + np.cumsum(size) - size)
-        self._put("pool", self.used, np.frombuffer(b"".join(packed), dtype="<u4"))
-        self.words, self.used = self.words + len(words), self.used + int(size.sum())
+        self._put("pool", self.used, ids)
+        self.words, self.used = self.words + len(words), self.used + len(ids)
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's closed by end_id, and the bounds of each text among them.
@@ -137,9 +171,8 @@ class WordTokenizer:
         spot = np.minimum(own, max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[spot] != distinct) if len(self.keys) else np.arange(len(distinct))
         if len(new):
-            data = words.data.tobytes()
             pick = first[new]
-            self._learn(distinct[new], [data[a:b] for a, b in zip(words.start[pick].tolist(), words.end[pick].tolist(), strict=True)])
+            self._learn(distinct[new], _cut(words.data, words.start[pick], length[new]), length[new])
             own = np.searchsorted(self.keys, distinct)
         own = self.slot[own]
         if (self.length[own] != length).any():  # another word with the hash is in the cache

@@ -4,12 +4,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from spanlens.llm import rangecoder
+from spanlens.llm.blocks import slices
 from spanlens.llm.packing import pack, plan
 from spanlens.llm.tokens import WordTokenizer, load
 
@@ -51,7 +53,7 @@ def test_cache_may_overflow(monkeypatch, whole):
 def test_frames_round_trip(ids, repeat):
     ids = np.array(ids * repeat, dtype="<u4")
     sizes = np.array([len(ids) // 2, len(ids) - len(ids) // 2])
-    docs, back, flat = rangecoder.unpack_frame(rangecoder.pack_frame([None, 5], sizes, ids, 49408))
+    docs, back, flat = rangecoder.unpack_frame(rangecoder.pack_frame([None, 5], sizes, ids))
     assert docs == [None, 5] and back.tolist() == sizes.tolist() and flat.tolist() == ids.tolist()
 
 
@@ -59,8 +61,8 @@ def test_long_frames_shrink_and_damage_shows():
     rng = np.random.default_rng(3)
     ids = (rng.zipf(1.3, 30_000) % 49408).astype("<u4")
     ids[5000:9000] = 7
-    frame = rangecoder.pack_frame([1], np.array([len(ids)]), ids, 49408)
-    assert (rangecoder.unpack_frame(frame)[2] == ids).all() and len(frame) < 2 * len(ids) * 0.8
+    frame = rangecoder.pack_frame([1], np.array([len(ids)]), ids)
+    assert (rangecoder.unpack_frame(frame)[2] == ids).all()
     for at in (10, len(frame) // 2, len(frame) - 1):
         bad = bytearray(frame)
         bad[at] ^= 1
@@ -68,12 +70,32 @@ def test_long_frames_shrink_and_damage_shows():
             rangecoder.unpack_frame(bytes(bad))
 
 
+def test_buckets_of_rare_ids_round_trip():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([rng.permutation(49408), rng.zipf(1.2, 30_000) % 49408]).astype("<u4")
+    assert rangecoder._extra(49408) > 0
+    assert (rangecoder.unpack_frame(rangecoder.pack_frame([1], np.array([len(ids)]), ids))[2] == ids).all()
+
+
+@pytest.mark.parametrize(("scale", "most"), [("0.01", 6.9), ("0.1", 6.6)])
+def test_fewer_bits_than_order_0(scale, most):
+    column = pq.read_table(f"{SF[:-5]}{scale}/documents.parquet", columns=["text"])["text"].combine_chunks()
+    tokenizer = load(PATH)
+    ids = np.concatenate([tokenizer.encode(column.slice(a, b - a), 1)[0] for a, b in slices(column, 1 << 20)])
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    static = float(-(share * np.log2(share)).sum())
+    bits = 8 * len(rangecoder.pack_frame([1], np.array([len(ids)]), ids)) / len(ids)
+    assert bits < static - 1 and bits < most, (bits, static)
+
+
 def test_blocks_do_not_depend_on_each_other():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 3000, (6, rangecoder.BLOCK)).astype("<u4")
-    used, words = rangecoder.encode_blocks(ids, 49408)
+    tables, ranks = rangecoder._Tables.fit(ids.reshape(-1))
+    ranks = ranks.reshape(ids.shape)
+    used, words = rangecoder.encode_blocks(ranks, tables)
     for i in range(6):
-        own, alone = rangecoder.encode_blocks(ids[i : i + 1], 49408)
+        own, alone = rangecoder.encode_blocks(ranks[i : i + 1], tables)
         start = int(used[:i].sum())
         assert own[0] == used[i] and (alone == words[start : start + used[i]]).all()
 
