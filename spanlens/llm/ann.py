@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by largest inner product: inverted lists scanned with adaptive dimensions.
 
 Vectors get one more component that gives them all the same length (queries get 0), so the largest inner product is the
-smallest distance, and a random rotation then spreads every distance evenly over the components. A list is scanned in
-blocks of columns: after each, the partial distance, scaled to all columns, is tested against the distance of the
-query's k-th best so far, and a candidate that fails the test is dropped. Survivors are measured exactly on the original
-vectors in double precision.
+smallest distance, and a random rotation then spreads every distance evenly over the components: of a distance over n
+components, m of them hold a share that is beta distributed around m / n. A list is scanned in blocks of columns. After
+each, a candidate is abandoned where its partial distance is too large (by Z standard deviations of that share) for its
+distance to be within that of the query's k-th best so far. Survivors are measured exactly on the original vectors in
+double precision.
 
 Centroids come from a bounded sample; every vector is indexed. How many lists a query probes is measured, not set: on the
-sample, the least number of nearest lists that hold the wanted share of the true neighbours of sampled queries. A query's
-k best of the sample are candidates beside the lists', and a scan returns nothing below the k-th best of them. Lists are cut into blocks of vectors and of queries by
-their counts, so a list with a third of all vectors becomes many block pairs of bounded size.
+sample, the least number of nearest lists that hold the wanted share of the true neighbours of sampled queries. The k-th
+best so far is first that of the sample, whose vectors are candidates, too; lists are visited nearest first, in two
+turns, and the second has the k-th best of the first. Lists are cut into blocks of vectors and of queries by their
+counts, so a list with a third of all vectors becomes many block pairs of bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 SAMPLE, LIST_ROWS, MOST_LISTS, ASKED = 16_384, 1000, 2048, 512
-BLOCK_ROWS, QUERY_ROWS, COLUMNS, SLACK, SEED = 2048, 1024, 16, 2.1, 11
+BLOCK_ROWS, QUERY_ROWS, COLUMNS, Z, SEED = 2048, 1024, 16, 2.6, 11
+FIRST_TURN = 8  # the first turn visits this part of the lists
 
 
 def _rotation(dim: int) -> np.ndarray:
@@ -69,12 +72,18 @@ def _probes(ids: np.ndarray, points: np.ndarray, qids: np.ndarray, queries: np.n
     return int(places[ceil(recall * len(places)) - 1]) + 1 if len(places) else 1
 
 
-def _best(ids: np.ndarray, vectors: np.ndarray, qid: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best of the vectors, by score and then id."""
-    others = ids != qid
-    score, own = (vectors * query).sum(axis=1)[others], ids[others]
-    best = np.lexsort((own, -score))[:k]
-    return own[best], score[best]
+def _best(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the k best of the vectors for each query, by score and then id."""
+    near = queries @ vectors.T
+    near[qids[:, None] == ids] = -np.inf
+    for row, query, qid in zip(near, queries, qids, strict=True):
+        some = np.flatnonzero(ids != qid)
+        if len(some) > k:  # products of matrices round otherwise than sums do
+            some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9 * np.abs(query).sum())
+            some = some[ids[some] != qid]
+        score = (vectors[some] * query).sum(axis=1)
+        best = np.lexsort((ids[some], -score))[:k]
+        yield ids[some][best], score[best]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -88,56 +97,63 @@ def usable(vectors: DataFrame, vec_col: str) -> DataFrame:
     return vectors.where(x.isNotNull() & (F.size(x) > 0) & fine & F.exists(x, lambda v: v != 0))
 
 
-def _scan(dim: int, length2: float, k: int):
-    rotation = _rotation(dim + 1)
-    cuts = [*range(0, dim + 1, COLUMNS), dim + 1]
-    columns = list(zip(cuts, cuts[1:], strict=False))
-
-    def pair(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, leasts: np.ndarray) -> Iterator[tuple]:
-        turned = _lift(vectors, length2) @ rotation
-        parts = [np.ascontiguousarray(turned[:, a:b]) for a, b in columns]
-        sizes = [(p * p).sum(axis=1) for p in parts]
-        asked = _lift(queries, None) @ rotation
-        order = np.argsort(ids, kind="stable")
-        head = order[: 4 * k]
-        for qid, q, t, least in zip(qids, queries, asked, leasts, strict=True):
-            whole = float(q @ q) + length2
-            first = np.sort((vectors[head] * q).sum(axis=1))
-            limit = whole - 2 * first[-min(k + 1, len(first))] if len(first) > k else np.inf
-            alive, partial, seen = order, 0.0, 0
-            for (a, b), part, size in zip(columns, parts, sizes, strict=True):
-                own = t[a:b]
-                partial = partial + size[alive] - 2 * (part[alive] @ own) + own @ own
-                seen = b
-                if np.isfinite(limit) and seen <= dim:
-                    keep = partial * ((dim + 1) / seen) <= limit * (1 + SLACK / np.sqrt(seen)) ** 2 + 1e-9
-                    alive, partial = alive[keep], partial[keep]
-            alive = np.union1d(alive, head) if len(alive) < k + 1 else alive
-            alive = alive[ids[alive] != qid]
-            score = (vectors[alive] * q).sum(axis=1)
-            alive, score = alive[score >= least], score[score >= least]
-            best = np.lexsort((ids[alive], -score))[:k]
-            yield np.full(len(best), qid), ids[alive][best], score[best]
-
+def _cuts(width: int) -> list[int]:
+    """Ends of the column blocks: two steps at once first, and longer ones as fewer candidates are left."""
+    out, at = [0], 2 * COLUMNS
+    while at + COLUMNS <= width:
+        out.append(at)
+        at += max(COLUMNS, at // 2 // COLUMNS * COLUMNS) if at >= 4 * COLUMNS else COLUMNS
+    return [*out, width]
+
+
+def scan(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, leasts: np.ndarray, length2: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """Of each query the id, the ids and scores of its k best that score ``least`` or more, and how many were measured."""
+    width = vectors.shape[1] + 1
+    rotation = _rotation(width)
+    cuts = _cuts(width)
+    turned, asked = _lift(vectors, length2) @ rotation, _lift(queries, None) @ rotation
+    parts = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    sizes = [(p * p).sum(axis=1) for p in parts]
+    share = [m / width + Z * np.sqrt(2 * m * (width - m) / (width * width * (width + 2))) for m in cuts[1:]]
+    limits = np.maximum((queries * queries).sum(axis=1) + length2 - 2 * leasts, 0) * (1 + 1e-9) + 1e-9
+    own = asked[:, : cuts[1]]
+    first = (own * own).sum(axis=1)[:, None] - 2 * (own @ parts[0].T) + sizes[0]
+    for row, (qid, q, t, least, limit) in enumerate(zip(qids, queries, asked, leasts, limits, strict=True)):
+        alive = np.flatnonzero(first[row] <= share[0] * limit)
+        partial = first[row][alive]
+        for n in range(1, len(parts)):
+            own = t[cuts[n] : cuts[n + 1]]
+            partial = partial + sizes[n][alive] - 2 * (parts[n][alive] @ own) + own @ own
+            keep = partial <= share[n] * limit
+            alive, partial = alive[keep], partial[keep]
+        alive = alive[ids[alive] != qid]
+        score = (vectors[alive] * q).sum(axis=1)
+        good = score >= least
+        best = np.lexsort((ids[alive][good], -score[good]))[:k]
+        yield qid, ids[alive][good][best], score[good][best], len(alive)
+
+
+def _scans(dim: int, length2: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 ids, flat, qids, asked, leasts = (batch.column(i).slice(row, 1).flatten() for i in range(5))
                 vectors, queries = (x.to_numpy(zero_copy_only=False).reshape(-1, dim) for x in (flat, asked))
-                out = list(pair(ids.to_numpy(), vectors, qids.to_numpy(), queries, leasts.to_numpy()))
-                columns_ = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_], ["query_id", "vec_id", "score"])
+                out = list(scan(ids.to_numpy(), vectors, qids.to_numpy(), queries, leasts.to_numpy(), length2, k))
+                names, own, score = zip(*[x[:3] for x in out], strict=True)
+                columns = [np.repeat(names, list(map(len, own))), np.concatenate(own), np.concatenate(score)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = 0.25, least_probes: int = 6, recall: float = 0.95) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", least_probes: int = 6, recall: float = 0.95) -> DataFrame:
     """The k nearest found of each query: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
     Both tables have id_col and vec_col; a query's own id is no candidate of it, and equal rows count once. Vectors that are null, empty, zero, hold
-    null or non-finite components, or are not of the most common length take no part. Each query probes the nearest
-    ``probe_share`` of the lists (at least ``least_probes``, and as many as hold 4 k vectors), and more where the sample
-    shows that they hold less than ``recall`` of the neighbours.
+    null or non-finite components, or are not of the most common length take no part. Each query probes its nearest
+    lists: at least ``least_probes``, as many as hold 4 k vectors, and as many as the sample shows to be needed for
+    ``recall``.
     """
     spark = vectors.sparkSession
     base = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")), "v").where("id is not null")
@@ -169,31 +185,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     indexed = stored(base.mapInArrow(assign, "list int, id long, v array<double>"), "lists")
     counts = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # at most MOST_LISTS rows
     held = np.array([counts.get(i, 0) for i in range(lists)])
-    probes = min(lists, max(least_probes, ceil(lists * probe_share)))
+    probes = min(lists, least_probes)
     if probes < lists:
         qids, tried = sampled(asked, ASKED)
         probes = max(probes, _probes(ids, points, qids, _lift(tried, None) @ rotation, centres, k, recall))
 
     known = spark.sparkContext.broadcast((ids, plain))
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qid, query in zip(batch.column(0).to_numpy(), _matrix(batch.column(1), dim), strict=True):
-                own, score = _best(*known.value, qid, query, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid)), pa.array(own), pa.array(score)], ["query_id", "vec_id", "score"])
+    first = ceil(probes / FIRST_TURN)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _lift(_matrix(batch.column(1), dim), None) @ _rotation(dim + 1)
-            order = _nearest(points, sent.value, lists)
-            enough = np.cumsum(held[order], axis=1) - held[order] < 4 * k
-            enough[:, :probes] = True
-            row, place = np.nonzero(enough & (held[order] > 0))
-            scores = [_best(*known.value, *x, k)[1] for x in zip(batch.column(0).to_numpy(), _matrix(batch.column(1), dim), strict=True)]
-            least = np.array([x[-1] if len(x) == k else -np.inf for x in scores])
-            yield pa.RecordBatch.from_arrays([pa.array(order[row, place], pa.int32()), *[c.take(pa.array(row)) for c in batch.columns], pa.array(least[row])], ["list", "id", "v", "least"])
-
-    routed = stored(asked.mapInArrow(route, "list int, id long, v array<double>, least double"), "probes")
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                qids, queries = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+                order = _nearest(_lift(queries, None) @ _rotation(dim + 1), sent.value, lists)
+                enough = np.cumsum(held[order], axis=1) - held[order] < 4 * k
+                enough[:, :probes] = True
+                enough &= held[order] > 0
+                own, score = zip(*_best(*known.value, qids, queries, k), strict=True)
+                least = [x[-1] if len(x) == k else -np.inf for x in score]
+                near = [[o[e & turn].tolist() for o, e in zip(order, enough, strict=True)] for turn in (np.arange(lists) < first, np.arange(lists) >= first)]
+                columns = [*part.columns, pa.array(least), *[pa.array(x, pa.list_(pa.int32())) for x in near], *[pa.array([x.tolist() for x in c], pa.list_(t)) for c, t in ((own, pa.int64()), (score, pa.float64()))]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "v", "least", "near", "rest", "own", "scores"])
+
+    routed = stored(asked.mapInArrow(route, "id long, v array<double>, least double, near array<int>, rest array<int>, own array<long>, scores array<double>"), "probes", 256)
 
     def blocks(df: DataFrame, size: int, ids: str, flat: str, *more: str) -> DataFrame:
         parts = {r["list"]: ceil(r["count"] / size) for r in df.groupBy("list").count().collect()}
@@ -202,8 +217,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         rows = keyed.groupBy("list", "block").agg(F.collect_list(F.struct("id", "v", *more)).alias("rows"))
         return rows.select("list", F.col("rows.id").alias(ids), F.flatten("rows.v").alias(flat), *[F.col(f"rows.{m}").alias(m) for m in more])
 
-    pairs = blocks(indexed, BLOCK_ROWS, "ids", "vs").join(blocks(routed, QUERY_ROWS, "qids", "qs", "least"), "list")
-    found = pairs.select("ids", "vs", "qids", "qs", "least").mapInArrow(_scan(dim, most, k), "query_id long, vec_id long, score double")
-    found = found.union(asked.mapInArrow(seen, "query_id long, vec_id long, score double")).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held_blocks = blocks(indexed, BLOCK_ROWS, "ids", "vs")
+
+    def turn(asked: DataFrame) -> DataFrame:
+        pairs = held_blocks.join(blocks(asked, QUERY_ROWS, "qids", "qs", "least"), "list")
+        return pairs.select("ids", "vs", "qids", "qs", "least").mapInArrow(_scans(dim, most, k), "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+
+    seeds = routed.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("own", "scores")).alias("x")).select("query_id", F.col("x.own").alias("vec_id"), F.col("x.scores").alias("score"))
+    found = seeds.union(turn(routed.select("id", "v", "least", F.explode("near").alias("list"))))
+    found = stored(ranked(found), "near")
+    best = found.where(F.col("rank") == k).groupBy("query_id").agg(F.max("score").alias("found"))
+    again = routed.join(best, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("found", "least").alias("least"), F.explode("rest").alias("list"))
+    return ranked(found.drop("rank").union(turn(again))).select("query_id", "rank", "vec_id", "score")

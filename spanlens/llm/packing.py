@@ -1,12 +1,13 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
-Only counts of lengths (at most ``capacity`` of them) reach the driver. Lengths are grouped into classes, and the
-program over configurations of classes - fill every class's demand with as few sequences as can be - is solved by
-multiplicative weights: classes still short of demand gain weight, and a knapsack dynamic program prices the best
-configuration under the weights. Its whole multiples are kept; what they leave open or over is placed by best fit, which
-also fills the room that rounding classes up has left. The plan is a list of runs of equal placements, bounded by the
-number of lengths and configurations whatever the number of documents; pieces find their place in it by their rank
-among pieces of their length.
+Only counts of lengths (at most ``capacity`` of them) reach the driver. Long lengths are grouped, each group standing
+for its longest, and the program over configurations of groups - fill every group's demand with as few sequences as can
+be - is solved by multiplicative weights: groups still short of demand gain weight, and a knapsack dynamic program
+prices configurations under the weights, the best one for each group at a time. The program's multiples are rounded down, and
+best fit places what they leave open and, last, the short lengths, which are sand for the room that is left. Grouping
+wastes room where sand is scarce, so the multiples are also tried in part, and the plan of fewest sequences is taken.
+It is a list of runs of equal placements, bounded by the number of lengths and configurations whatever the number of
+documents; pieces find their place in it by their rank among pieces of their length.
 """
 
 from __future__ import annotations
@@ -23,58 +24,74 @@ from .blocks import slices
 from .shared import release, stored
 from .tokens import load
 
-CLASSES, EPSILON, RANK_BUCKETS, MOST_ROUNDS = 128, 0.25, 256, 20_000
+GROUPS, EPSILON, RANK_BUCKETS, MOST_ROUNDS = 64, 0.25, 256, 20_000
+SAND, KEEP = 16, (1, 0.75, 0.5, 0.25, 0.1, 0.05, 0.02)  # lengths up to this part of the capacity are sand; parts of the multiples that are tried
 CACHE = 500_000, 150_000  # words and parts that the tokenizer keeps: scans and windows need the memory
 
 
-def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
-    """Counts of the items (repeats allowed) of most value that fit in ``room``."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(size, kind="stable")
-    sizes, values = size[order], value[order]
-    fits = np.searchsorted(sizes, np.arange(room + 1), side="right")
-    for at in range(1, room + 1):
-        best[at] = best[at - 1]
-        n = fits[at]
-        if n:
-            total = values[:n] + best[at - sizes[:n]]
-            top = int(total.argmax())
-            if total[top] > best[at]:
-                best[at], pick[at] = total[top], order[top]
-    counts, at = np.zeros(len(size), dtype=np.int64), room
-    while at > 0:
-        if pick[at] < 0:
-            at -= 1
-        else:
-            counts[pick[at]] += 1
-            at -= int(size[pick[at]])
-    return counts
+def _table(value: np.ndarray, size: np.ndarray, room: int, most: np.ndarray | None = None) -> np.ndarray:
+    """Most value of items (repeats allowed, up to ``most`` of each) that fit in each room."""
+    best = np.zeros(room + 1)
+    for i, (v, n) in enumerate(zip(value.tolist(), size.tolist(), strict=True)):
+        for _ in range(room // n if most is None else min(room // n, int(most[i]))):
+            np.maximum(best[n:], best[:-n] + v, out=best[n:])
+    return best
+
+
+def _trace(best: np.ndarray, value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
+    """Counts of the items behind ``best`` at a room, of a table with repeats."""
+    counts = np.zeros(len(size), dtype=np.int64)
+    while True:
+        fits = np.flatnonzero((size <= room) & (value > 0))
+        if not len(fits) or best[room] <= 0:
+            return counts
+        gain = value[fits] + best[room - size[fits]]
+        top = int(gain.argmax())
+        if gain[top] < best[room] * (1 - 1e-9):  # the best leaves room over
+            room -= 1
+            continue
+        counts[fits[top]] += 1
+        room -= int(size[fits[top]])
+
+
+def price(weight: np.ndarray, size: np.ndarray, room: int) -> list[np.ndarray]:
+    """For each item the configuration of most weight that holds it."""
+    best = _table(weight, size, room)
+    out = []
+    for i in range(len(size)):
+        counts = _trace(best, weight, size, room - int(size[i]))
+        counts[i] += 1
+        out.append(counts)
+    return out
 
 
 def solve(demand: np.ndarray, size: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
     """Configurations and multiples that together cover the demand, near the fewest (fractional covering)."""
     goal = np.log(max(2, len(demand))) / EPSILON**2
-    covered, used = np.zeros(len(demand)), {}
-    for _ in range(MOST_ROUNDS):
+    covered, used = np.zeros(len(demand)), np.zeros(0)
+    pool, known = np.zeros((0, len(demand)), dtype=np.int64), set()
+    for turn in range(MOST_ROUNDS):
         short = covered < goal
         if not short.any():
             break
-        weight = np.where(short, np.exp(-EPSILON * (covered - covered.min())), 0.0) / demand
-        counts = _knapsack(weight, size, room)
-        some = counts > 0
-        step = float((demand[some] / counts[some]).min())
-        covered += step * counts / demand
-        key = counts.tobytes()
-        used[key] = used.get(key, 0.0) + step
-    scale = max(covered.min(), 1e-9) if covered.min() > 0 else goal
-    return [(np.frombuffer(k, dtype=np.int64), x / scale) for k, x in used.items()]
+        weight = np.where(short, np.exp(-EPSILON * (covered - covered[short].min())), 0.0) / demand
+        if turn % max(1, len(demand) // 2) == 0:
+            new = [c for c in {c.tobytes(): c for c in price(weight * demand.max(), size, room)}.values() if c.tobytes() not in known]
+            known |= {c.tobytes() for c in new}
+            pool, used = np.concatenate([pool, *[c[None] for c in new]]), np.append(used, np.zeros(len(new)))
+            steps = np.where(pool > 0, demand / np.maximum(pool, 1), np.inf).min(axis=1)
+            shares = pool / demand
+        top = int((pool @ weight).argmax())
+        covered += steps[top] * shares[top]
+        used[top] += steps[top]
+    return [(pool[i], used[i] / max(covered.min(), 1e-9)) for i in np.flatnonzero(used).tolist()]
 
 
 class Plan:
     """Runs of equal placements: rank0.. of a length go ``per`` to a sequence from ``sequence`` on, at ``offset``."""
 
     def __init__(self, histogram: dict[int, int], capacity: int) -> None:
-        self.capacity, self.sequences = capacity, 0
+        self.capacity, self.sequences, self.configured = capacity, 0, 0  # configured: pieces placed by the program
         self.left = {k: v for k, v in histogram.items() if v > 0}
         self.rank: dict[int, int] = {}
         self.runs: list[tuple[int, int, int, int, int, int]] = []  # length, rank0, count, per, sequence, offset
@@ -130,39 +147,62 @@ class Plan:
         return tuple(runs[:, i] for i in range(6))
 
 
-def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """The better of the rounded program and plain best fit."""
-    plain = Plan(histogram, capacity)
-    plain.best_fit()
-    width = max(1, capacity // CLASSES)
-    room = capacity // width
-    by_class: dict[int, list[int]] = {}
-    for length, n in sorted(histogram.items(), reverse=True):
-        if n and length <= room * width:
-            by_class.setdefault(-(-length // width), []).append(length)
+def _grouped(lengths: list[int], counts: list[int]) -> list[list[int]]:
+    """Lengths (longest first) in at most GROUPS runs of about equal counts."""
+    if len(lengths) <= GROUPS:
+        return [[x] for x in lengths]
+    upto = np.cumsum(counts)
+    at = np.minimum((upto - 1) * GROUPS // upto[-1], GROUPS - 1)
+    return [[lengths[i] for i in np.flatnonzero(at == g)] for g in np.unique(at)]
+
+
+def program(histogram: dict[int, int], capacity: int) -> tuple[list[list[int]], list[tuple[np.ndarray, float]]]:
+    """Groups of the long lengths, and the program's configurations of groups with their multiples."""
+    long = sorted((x for x, n in histogram.items() if n and x > capacity // SAND), reverse=True)
+    if not long:
+        return [], []
+    groups = _grouped(long, [histogram[x] for x in long])
+    demand = np.array([float(sum(histogram[x] for x in g)) for g in groups])
+    found = solve(demand, np.array([g[0] for g in groups], dtype=np.int64), capacity)
+    return groups, sorted(found, key=lambda c: -c[1])
+
+
+def rounded(histogram: dict[int, int], capacity: int, groups: list[list[int]], found: list[tuple[np.ndarray, float]], keep: float) -> Plan:
+    """Whole numbers of ``keep`` times the multiples, then best fit."""
     out = Plan(histogram, capacity)
-    if by_class:
-        size = np.array(sorted(by_class), dtype=np.int64)
-        demand = np.array([float(sum(histogram[x] for x in by_class[s])) for s in size.tolist()])
-        for counts, times in sorted(solve(demand, size, room), key=lambda c: -c[1]):
-            many = int(times)
-            while many > 0:
-                lengths: list[int] = []
-                for at in np.flatnonzero(counts).tolist():
-                    need = int(counts[at])
-                    for length in by_class[int(size[at])]:
-                        got = min(need, max(0, out.left[length] - lengths.count(length)))
-                        lengths += [length] * got
-                        need -= got
-                        if not need:
-                            break
-                if not lengths:
-                    break
-                run = max(1, min(many, *(out.left[x] // lengths.count(x) for x in set(lengths))))
-                out.configure(lengths, run)
-                many -= run
+    for counts, times in found:
+        many = int(times * keep + 1e-6)
+        while many > 0:
+            lengths: list[int] = []
+            for at in np.flatnonzero(counts).tolist():
+                need = int(counts[at])
+                for length in groups[at]:
+                    got = min(need, max(0, out.left[length] - lengths.count(length)))
+                    lengths += [length] * got
+                    need -= got
+                    if not need:
+                        break
+            if len(lengths) < counts.sum():
+                break
+            run = max(1, min(many, *(out.left[x] // lengths.count(x) for x in set(lengths))))
+            out.configure(lengths, run)
+            many -= run
+    out.configured = sum(r[2] for r in out.runs)
     out.best_fit()
-    return out if out.sequences <= plain.sequences else plain
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """The program's plan of fewest sequences, the largest part of its multiples first; plain best fit if that has fewer."""
+    least = -(-sum(k * n for k, n in histogram.items()) // capacity)
+    groups, found = program(histogram, capacity)
+    best: Plan | None = None
+    for keep in (*KEEP, 0):
+        own = rounded(histogram, capacity, groups, found, keep)
+        best = own if best is None or own.sequences < best.sequences else best
+        if best.sequences == least:
+            break
+    return best
 
 
 def _pieces(path: str, capacity: int, end_id: int):

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,44 @@ def test_nearest_recall_over_many_lists(spark, monkeypatch, list_rows):
     assert total == 20 * vectors.where("vec_id % 20 = 0").count() and hits >= 0.9 * total
 
 
+def test_nearest_leaves_most_lists_alone_where_vectors_cluster(spark, monkeypatch):
+    from spanlens.llm import ann
+
+    rng = np.random.default_rng(2)
+    data = rng.standard_normal((60, 24))[rng.integers(0, 60, 50_000)] + 0.25 * rng.standard_normal((50_000, 24))
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": data.tolist()})).repartition(4)
+    seen = []
+    probes = ann._probes
+    monkeypatch.setattr(ann, "_probes", lambda *x: seen.append((probes(*x), len(x[4]))) or seen[-1][0])
+    out = nearest(vectors, vectors.where("vec_id % 1000 = 0")).toPandas()
+    hits = 0
+    for q, part in out.groupby("query_id"):
+        score = data @ data[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(part["vec_id"]))
+    (probed, lists), recall = seen[0], hits / 1000
+    print(f"recall@20 {recall:.3f}, {probed} of {lists} lists")
+    assert lists == 50 and probed < lists / 2 and recall >= 0.9
+
+
+def test_candidates_are_abandoned_early():
+    from spanlens.llm.ann import scan
+
+    rng = np.random.default_rng(3)
+    data = rng.standard_normal((20_000, 64))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    queries, kept, hits = data[:40], 0, 0
+    score = queries @ data.T
+    score[np.arange(40), np.arange(40)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    least = np.sort(score[:, :5000], axis=1)[:, -20]  # of a quarter of the vectors
+    for q, own, _, measured in scan(np.arange(20_000), data, np.arange(40), queries, least, 1.0, 20):
+        kept += measured
+        hits += len(set(own) & set(best[q]))
+    print(f"measured {kept / 40 / 20_000:.4f}, recall {hits / 800:.3f}")
+    assert kept < 0.05 * 40 * 20_000 and hits >= 0.97 * 800
+
+
 def test_nearest_takes_odd_vectors(spark):
     good = [(i, [float(i % 5 + 1), 2.0]) for i in range(60)]
     odd = [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [None, 1.0]), (180, [1.0]), (200, [math.inf, 1.0]), (None, [1.0, 1.0])]

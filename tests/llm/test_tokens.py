@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from spanlens.llm import rangecoder
 from spanlens.llm.blocks import slices
-from spanlens.llm.packing import pack, plan
+from spanlens.llm.packing import Plan, pack, plan
 from spanlens.llm.tokens import WordTokenizer, load
 
 from .common import SF, awkward, empty
@@ -163,3 +163,31 @@ def test_plans_are_whole_and_tight(histogram):
         else:
             first_fit[spot] -= length
     assert p.sequences <= len(first_fit) + 1
+
+
+@pytest.fixture(scope="module")
+def real_lengths():
+    column = pq.read_table(f"{SF[:-5]}0.1/documents.parquet", columns=["text"])["text"].combine_chunks()
+    tokenizer = load(PATH)
+    sizes = np.concatenate([np.diff(tokenizer.encode(column.slice(a, b - a), 1)[1]) for a, b in slices(column, 1 << 20)])
+    pieces = np.concatenate([np.full(int((sizes // 4096).sum()), 4096), sizes[sizes % 4096 > 0] % 4096])
+    return dict(zip(*(x.tolist() for x in np.unique(pieces, return_counts=True)), strict=True))
+
+
+def test_the_program_is_kept_on_real_lengths(real_lengths):
+    plain = Plan(real_lengths, 4096)
+    plain.best_fit()
+    own = plan(real_lengths, 4096)
+    assert own.configured > 0 and own.sequences <= plain.sequences
+
+
+@pytest.mark.parametrize(("lengths", "gain"), [([1366, 1365, 820, 1640, 2050, 1025], 0.03), ([*range(1300, 1420, 3), *range(1100, 1360, 2)], 0)])
+def test_the_program_beats_best_fit_where_lengths_fit_together(lengths, gain):
+    histogram = {x: 40 + x % 7 for x in lengths}
+    if gain:
+        histogram = {x: 2000 + x % 7 for x in lengths}
+    plain = Plan(histogram, 4096)
+    plain.best_fit()
+    own = plan(histogram, 4096)
+    print(plain.sequences, own.sequences, own.configured)
+    assert own.configured > 0 and own.sequences <= plain.sequences * (1 - gain)
