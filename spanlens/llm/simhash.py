@@ -81,8 +81,29 @@ def _fingerprint_rows(width: int):
     return run
 
 
+def gray_order(prints: np.ndarray) -> np.ndarray:
+    """Order of fingerprints (rows of words, the first word highest) by Gray rank."""
+    ranks, odd = [], np.zeros(len(prints), dtype=bool)
+    for word in prints.T:
+        rank = word.copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> U(shift)
+        rank[odd] = ~rank[odd]  # the words before hold an odd number of ones
+        odd = (rank & U(1)).astype(bool)
+        ranks.append(rank)
+    return np.lexsort(ranks[::-1])
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    """Ones of each fingerprint, of one word or of a row of words."""
+    return np.bitwise_count(x).astype(np.int16) if x.ndim == 1 else np.bitwise_count(x).sum(axis=1, dtype=np.int16)
+
+
 class GrayIndex:
-    """Hierarchical index over fingerprints in Gray order: per level the shared bits of each node, less its parent's."""
+    """Hierarchical index over fingerprints in Gray order: per level the shared bits of each node, less its parent's.
+
+    Fingerprints are numbers or rows of words.
+    """
 
     def __init__(self, prints: np.ndarray) -> None:
         self.prints = prints
@@ -102,19 +123,19 @@ class GrayIndex:
             part = queries[start : start + QUERIES]
             pattern, shared = self.levels[-1]
             q, node = np.divmod(np.arange(len(part) * len(pattern)), len(pattern))
-            gone = np.bitwise_count((part[q] ^ pattern[node]) & shared[node]).astype(np.int8)
+            gone = _ones((part[q] ^ pattern[node]) & shared[node])
             for level in range(len(self.levels) - 1, -1, -1):
                 near = gone <= radius
                 q, node, gone = q[near], node[near], gone[near]
                 fan = FAN if level else LEAF
-                above = self.levels[level][1][node]
+                above = self.levels[level][1]
                 child = node[:, None] * fan + np.arange(fan)
                 inside = child < (len(self.levels[level - 1][0]) if level else len(self.prints))
-                q, gone, above = (np.broadcast_to(x[:, None], child.shape)[inside] for x in (q, gone, above))
-                node = child[inside]
+                own = np.broadcast_to(np.arange(len(node))[:, None], child.shape)[inside]
+                q, gone, above, node = q[own], gone[own], above[node[own]], child[inside]
                 pattern, shared = self.levels[level - 1] if level else (self.prints, None)
                 fresh = ~above if shared is None else shared[node] & ~above
-                gone = gone + np.bitwise_count((part[q] ^ pattern[node]) & fresh).astype(np.int8)
+                gone = gone + _ones((part[q] ^ pattern[node]) & fresh)
             near = gone <= radius
             yield q[near] + start, node[near]
 
@@ -238,16 +259,10 @@ WORDS, BAND_BITS, MISS, SMALL_KEY, KEY_BLOCK, SET_BYTES = 4, 18, 0.01, 32, 2048,
 
 
 def _close(one: np.ndarray, two: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (index of one, index of two) within the limit, of all pairs, a few rows at a time."""
-    columns = [np.ascontiguousarray(two[:, w]) for w in range(WORDS)]
-    step = max(1, (1 << 20) // len(two))
-    for start in range(0, len(one), step):
-        part = one[start : start + step]
-        gone = np.zeros((len(part), len(two)), dtype=np.uint16)
-        for w, column in enumerate(columns):
-            gone += np.bitwise_count(part[:, w, None] ^ column)
-        x, y = np.nonzero(gone <= limit)
-        yield x + start, y
+    """Pairs (index of one, index of two) within the limit, by a hierarchical index over two."""
+    order = gray_order(two)
+    for q, p in GrayIndex(two[order]).search(one, limit):
+        yield q, order[p]
 
 
 def _stars(ids: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -439,8 +454,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Four words of SimHash bits of the set of shingles find candidates; the limit of differing bits is that of
     ``similarity`` and 2.6 standard deviations more. Bands are as many as leave a pair at the similarity unseen with
-    probability MISS. In a band, all rows of one key are held against each other, those of a large key in pairs of
-    blocks of bounded size. In each component of candidates, the Jaccard of all pairs decides what is linked; a large
+    probability MISS. In a band, all rows of one key are held against each other: those of a small key one by one, those of
+    a larger one by a Gray-order hierarchical index over blocks of bounded size, which are taken in pairs. In each component of candidates, the Jaccard of all pairs decides what is linked; a large
     component is cut into blocks of about SET_BYTES, which are compared in pairs. Texts of equal sets are one node.
     Rows without an id take no part.
     """

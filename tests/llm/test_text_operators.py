@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -124,7 +125,33 @@ def test_large_groups_are_split_into_blocks(spark, monkeypatch):
     edges = simhash.link_prints(prints, prints.count(), 4)
     values = sorted({v for _, v in rows})
     linked = {frozenset((a, b)) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 4}
-    assert linked and simhash.components(edges).select("root").distinct().count() == 1
+    found = {frozenset((r["a"], r["b"])) for r in edges.collect()}
+    assert linked and {x for pair in found for x in pair} == {x for pair in linked for x in pair}
+    at = {v: i for i, v in enumerate(values)}
+
+    def groups(pairs):
+        a, b = (np.array([at[x] for x in side]) for side in zip(*map(sorted, pairs), strict=True))
+        return simhash.roots(len(values), a, b).tolist()
+
+    assert groups(found) == groups(linked)
+
+
+@pytest.mark.parametrize(("words", "radius"), [(1, 4), (4, 47)])
+def test_gray_index_finds_all_pairs(words, radius):
+    rng = np.random.default_rng(6)
+    prints = rng.integers(0, 2**63, (700, words)).astype(np.uint64)
+    for i in range(350):  # near copies at distances about the radius
+        flips = rng.choice(64 * words, rng.integers(0, 2 * radius), replace=False)
+        prints[350 + i] = prints[i]
+        for bit in flips.tolist():
+            prints[350 + i, bit // 64] ^= np.uint64(1 << bit % 64)
+    want = {(i, j) for i in range(700) for j in np.flatnonzero(np.bitwise_count(prints[i] ^ prints).sum(axis=1) <= radius).tolist()}
+    order = simhash.gray_order(prints)
+    rows = prints[order] if words > 1 else prints[order, 0]
+    found = {(order[q], order[p]) for qs, ps in simhash.GrayIndex(rows).search(rows, radius) for q, p in zip(qs, ps, strict=True)}
+    assert found == want
+    six = np.arange(64, dtype=np.uint64)[:, None]
+    assert all(bin(int(a) ^ int(b)).count("1") == 1 for a, b in zip(simhash.gray_order(six), simhash.gray_order(six)[1:], strict=False))  # one bit apart
 
 
 def test_near_duplicates(spark):
@@ -219,11 +246,59 @@ def test_language(spark):
 
 def test_language_counts_equal_plain_counts():
     code, row = langid.features(["Ab!c", None, "é"])
-    assert np.bincount(row, minlength=3).tolist() == [13 - 2, 0, 5] or len(code) == len(row)
+    assert len(code) == len(row) and np.bincount(row, minlength=3).tolist() == [3 + 2 * 5, 0, 1 + 2 * 2]  # letters, and pairs and triples that end at each letter or gap
     again, _ = langid.features(["aB c"])
     assert sorted(code[row == 0]) == sorted(again)
 
 
+def slot(gram):
+    """Slot of an n-gram, letters as code points and gaps as 0, the last place first."""
+    h = 0
+    for order, point in enumerate(gram):
+        h = (h * 0x9E3779B1 + point + order + 1) % 2**32
+    h = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+    h = (h ^ h >> 13) * 0xC2B2AE35 % 2**32
+    return h >> 16
+
+
+def plain_grams(text):
+    places = []
+    for c in (text or "").lower():
+        if c.isalpha():
+            places.append(ord(c))
+        elif places and places[-1]:
+            places.append(0)
+    if places and places[-1]:
+        places.append(0)
+    out = []
+    for i in range(len(places)):
+        back = [places[i - k] if i >= k else 0 for k in range(3)]
+        out += [slot(back[:1])] * bool(places[i]) + [slot(back[:2]), slot(back)]
+    return out
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    """Counts, priors and posteriors of a dictionary-based naive Bayes, on real texts and odd ones."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(120).union(awkward(spark).select("doc_id", "text", "lang").where("doc_id <> 9"))
+    rows = docs.collect()
+    counts, texts = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in rows:
+        if r["lang"] is not None:
+            texts[r["lang"]] += 1
+            for g in plain_grams(r["text"]):
+                counts[r["lang"]][g] += 1
+    langs = sorted(texts)
+    whole = {x: sum(counts[x].values()) + langid.SMOOTHING * langid.FEATURES for x in langs}
+    want = []
+    for r in rows:
+        grams = plain_grams(r["text"])
+        score = [math.log(texts[x] / sum(texts.values())) + sum(math.log((counts[x].get(g, 0) + langid.SMOOTHING) / whole[x]) for g in grams) for x in langs]
+        top = max(range(len(langs)), key=lambda i: (score[i], -i))
+        want.append((r["doc_id"], langs[top], round(1 / sum(math.exp(s - score[top]) for s in score), 6)) if grams else (r["doc_id"], "und", 0.0))
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs)).collect()
+    assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in found), key=str) == sorted(want, key=str)
+
+
 def jaccard(a, b):
     def shingles(t):
         w = WORD.findall(t)
