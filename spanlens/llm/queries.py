@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .langid import held_out, identify, train
-from .license import CUES, TEMPLATES, TERM, license_scan
+from .license import BLANK, CUES, STRANGE, TEMPLATES, TERM, license_scan
 from .minhash import edited_fingerprints
 from .mixing import curriculum
 from .packing import pack
@@ -76,27 +76,29 @@ ORACLES["op2_license"] = rf"""
 WITH files AS (
   SELECT DISTINCT coalesce(source, 'none') || CASE WHEN doc_id % 8 = 1 THEN '' ELSE '/' || (doc_id % 3) || CASE WHEN doc_id % 5 = 0 THEN '/lib' ELSE '' END END
          || '/' || CASE WHEN doc_id % 4 = 1 THEN 'LICENSE-' ELSE 'file-' END || doc_id || '.txt' AS path, text, doc_id FROM documents
-), lines AS (
-  SELECT path, line, row_number() OVER () AS id FROM (SELECT path, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM files)
-  WHERE {" OR ".join(f"contains(lower(line), '{c}')" for c in CUES)}
+), cut AS (
+  SELECT path, list_distinct(list_concat(string_split(coalesce(text, ''), chr(10)), regexp_split_to_array(coalesce(text, ''), '{BLANK}'), CASE WHEN doc_id % 4 = 1 THEN [coalesce(text, '')] ELSE [] END)) AS units FROM files
+), units AS (
+  SELECT path, words, row_number() OVER () AS id FROM (SELECT DISTINCT path, unnest(units) AS words FROM cut)
+  WHERE {" OR ".join(f"contains(lower(words), '{c}')" for c in CUES)}
 ), tf AS (
-  SELECT path, id, term, count(*) AS tf FROM (SELECT path, id, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM lines) GROUP BY ALL
-), templates(name, body) AS (VALUES {_values(list(TEMPLATES.items()))}
+  SELECT path, id, term, 1 + ln(count(*)) AS tf FROM (SELECT path, id, unnest(regexp_extract_all(lower(words), '{TERM}')) AS term FROM units) GROUP BY ALL
+), templates(tno, name, body) AS (VALUES {_values([(i, *t) for i, t in enumerate(TEMPLATES)])}
 ), tt AS (
-  SELECT name, term, count(*) AS tf FROM (SELECT name, unnest(regexp_extract_all(lower(body), '{TERM}')) AS term FROM templates) GROUP BY ALL
-), n AS (SELECT count(DISTINCT id) AS n FROM tf
+  SELECT tno, name, term, 1 + ln(count(*)) AS tf FROM (SELECT tno, name, unnest(regexp_extract_all(lower(body), '{TERM}')) AS term FROM templates) GROUP BY ALL
 ), idf AS (
-  SELECT term, ln((1 + any_value(n)) / (1 + count(tf.id))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN tf USING (term), n GROUP BY term
+  SELECT term, ln((1.0 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term
+), tw AS (
+  SELECT tno, name, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY tno)) AS length, count(*) OVER (PARTITION BY tno) AS terms FROM tt JOIN idf USING (term)
 ), w AS (
-  SELECT path, id, term, tf * coalesce(idf, ln(1.0 + n) + 1) AS w FROM tf LEFT JOIN idf USING (term), n
+  SELECT path, id, term, tf * coalesce(idf, {STRANGE}) AS w FROM tf LEFT JOIN idf USING (term)
 ), cosine AS (
-  SELECT w.path, name, round(sum(w * tt.tf * idf) / (any_value(norm) * any_value(length)), 6) AS score
-  FROM w JOIN idf USING (term) JOIN tt USING (term) JOIN (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id) USING (id)
-       JOIN (SELECT name, sqrt(sum((tf * idf) * (tf * idf))) AS length FROM tt JOIN idf USING (term) GROUP BY name) USING (name)
-  GROUP BY w.path, id, name
+  SELECT w.path, name, terms, round(sum(w.w * tw.w) / (any_value(norm) * any_value(length)), 6) AS score
+  FROM w JOIN tw USING (term) JOIN (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id) USING (id)
+  GROUP BY w.path, id, tno, name, terms
 ), own AS (
   SELECT path, name AS licence, score FROM cosine WHERE score >= 0.6
-  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, name) = 1
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, terms DESC, name) = 1
 ), holders AS (
   SELECT regexp_replace(path, '/[^/]*$', '') AS up, licence, score FROM own WHERE regexp_matches(path, '/LICENSE[^/]*$')
   QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, licence) = 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -16,15 +17,28 @@ _tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (single-machine tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder for a local master, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spanlens-"))
     return "file://" + _own[0]
 
 
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with ``_in`` put behind those that are taken (whatever their case) until they no longer are."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_in"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what runs inside; bounds what JVM and Python hold of whole texts."""
@@ -51,7 +65,9 @@ def stored(df: DataFrame, name: str, rows: int = 10_000) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that no live plan refers to any more."""
+    """Let Spark's cleaner drop shuffle files that no live plan refers to any more, where the driver has a JVM at hand."""
+    if not hasattr(spark, "_jvm"):
+        return
     for _ in range(2):  # Python's handles are let go in the background, and only then the JVM's objects
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -511,11 +511,12 @@ def verified_links(base: DataFrame, group: DataFrame, width: int, similarity: fl
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest id.
 
-    All columns stay. Rows that repeat an id count as one document, of which the first by text stays; rows without an
-    id are not grouped and stay.
+    All columns stay. Rows that repeat an id count as one document, of which the row with the least hash of its text,
+    then of all its columns but maps, stays; rows without an id are not grouped and stay. Texts without words are alike.
+    An empty table gives no rows.
     """
     kept = near_groups(docs, id_col, text_col, **how).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     once = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])))
     once = once.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
     return once.unionByName(docs.where(F.col(id_col).isNull()))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import U, Words, mix, slices
-from .shared import release, stored
+from .shared import free_names, release, stored
 
 COVER, PERIOD, ANCHOR = (0, 1, 3), 7, 7
 WINDOW = ANCHOR + PERIOD - 1
@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same words so joined; the text as it is, empty for null, where none was removed).
     A null text has no words; a null id takes no part (its words stay, and nothing is removed on its account); rows
     that repeat an id count as one document, so they never remove each other's words. Columns named in ``carry`` come
-    along as they are, under their own names after these; others are left out. Equality of windows is that of 64-bit hashes of their words.
+    along as they are after these, with ``_in`` behind a name that is one of these; others are left out. Equality of windows is that of 64-bit hashes of their words.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)])
@@ -204,4 +204,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for name in carried:
         schema = schema.add(out.schema[name])
     done = out.mapInArrow(_removal(carried), schema).withColumnRenamed("doc", id_col)
-    return done.select(*done.columns[:5], *[F.col(n).alias(c) for n, c in zip(carried, carry, strict=True)])
+    return done.select(*done.columns[:5], *[F.col(n).alias(c) for n, c in zip(carried, free_names(list(carry), done.columns[:5]), strict=True)])

@@ -38,7 +38,9 @@ def resolve_revisits(records: DataFrame, slice_width: int = 4096) -> DataFrame:
     (entity tags compared weakly; without a pair of tags the dates, without those the digests), ``mismatch`` where it
     does not, ``unchecked`` where no pair of validators exists, ``orphan`` without a candidate. headers: the stored
     ones, with permitted fields of the revisit put over them if resolved, else the revisit's own. Null uri or ts: an
-    orphan, or never a candidate. Repeated rows are resolved each for itself. slice_width is in units of ts.
+    orphan, or never a candidate. Repeated rows are resolved each for itself; of full responses that repeat a url, ts
+    and record_id the one with the largest digest, then etag, date and headers (in order of names) is taken. slice_width
+    is in units of ts. Other columns are left out; an empty table gives no rows.
     """
     r = records.select(
         F.col("record_id").cast("long"), canonical_url(F.col("uri")).alias("url"), F.col("ts").cast("long"), (F.col("kind") == "revisit").alias("revisit"), (F.col("kind") == "response").alias("full"), "etag", "last_modified", "digest", "headers"
@@ -46,14 +48,16 @@ def resolve_revisits(records: DataFrame, slice_width: int = 4096) -> DataFrame:
     r = r.where("revisit or full").withColumn("slice", F.floor(F.col("ts") / slice_width))
     stored = F.when(F.col("full") & F.col("ts").isNotNull() & F.col("url").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
     r = r.withColumn("stored", stored)
-    key = F.struct("ts", "record_id")
+    tie = [F.col("digest"), F.col("etag"), F.col("last_modified"), F.array_sort(F.map_entries("headers"))]
+    key = F.struct("ts", "record_id", *tie)
     lasts = r.where("stored is not null").groupBy("url", "slice").agg(F.max_by("stored", key).alias("stored"))
     spots = r.where("revisit and ts is not null and url is not null").select("url", "slice").distinct()
     over = Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = spots.join(lasts, ["url", "slice"], "full").withColumn("before", F.last("stored", ignorenulls=True).over(over)).select("url", "slice", "before")
     inner = Window.partitionBy("url", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = r.withColumn("here", F.max(F.when(F.col("stored").isNotNull(), F.struct("ts", "record_id"))).over(inner)).where("revisit")
-    bodies = r.where("stored is not null").select("url", "slice", F.struct("ts", "record_id").alias("here"), "stored").groupBy("url", "slice", "here").agg(F.first("stored").alias("found"))
+    bodies = r.where("stored is not null").select("url", "slice", F.struct("ts", "record_id").alias("here"), "stored", F.struct(*tie).alias("tie"))
+    bodies = bodies.groupBy("url", "slice", "here").agg(F.max_by("stored", "tie").alias("found"))
     near = near.drop("stored").join(carried, ["url", "slice"], "left").join(bodies, ["url", "slice", "here"], "left")
     near = near.withColumn("found", F.coalesce("found", "before"))
     f = F.col("found")

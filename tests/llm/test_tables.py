@@ -34,6 +34,48 @@ def test_licences(spark):
     assert license_scan(none).count() == 0 and own_licences(none.withColumnRenamed("path", "file")).count() == 0
 
 
+GNU = "{title}\n{version}\n\n Copyright (C) Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n\t\t\t    Preamble\n\n  The licenses for most software are designed to take away your\nfreedom to share and change it.  By contrast, the GNU General Public\nLicense is intended to guarantee your freedom to share and change free\nsoftware--to make sure the software is free for all its users.\n\n  TERMS AND CONDITIONS\n\n  0. This License applies to any program or other work which contains a notice.\n" + "\n  Clause of the terms that goes on for many words about copies and changes.\n" * 40
+MIT_BODY = '{start}Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED.\n'
+BSD_BODY = "Copyright (c) 2019, Some Company\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.\n"
+THIRD = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+CASES = {
+    "gpl2/COPYING": (GNU.format(title="\t\t    GNU GENERAL PUBLIC LICENSE", version="\t\t       Version 2, June 1991"), "GPL-2.0"),
+    "gpl3/COPYING": (GNU.format(title="                    GNU GENERAL PUBLIC LICENSE", version="                       Version 3, 29 June 2007"), "GPL-3.0"),
+    "lgpl/COPYING": (GNU.format(title="GNU LESSER GENERAL PUBLIC LICENSE", version="Version 2.1, February 1999"), "LGPL-2.1"),
+    "lgpl3/COPYING": (GNU.format(title="GNU LESSER GENERAL PUBLIC LICENSE", version="Version 3, 29 June 2007"), "LGPL-3.0"),
+    "agpl/COPYING": (GNU.format(title="GNU AFFERO GENERAL PUBLIC LICENSE", version="Version 3, 19 November 2007"), "AGPL-3.0"),
+    "gpl/COPYING": ("GNU GENERAL PUBLIC LICENSE\n", "GPL"),
+    "mit/LICENSE": (MIT_BODY.format(start="MIT License\n\nCopyright (c) 2020 Example Ltd.\n\n"), "MIT"),
+    "mit2/LICENSE": (MIT_BODY.format(start=""), "MIT"),
+    "bsd2/LICENSE": (BSD_BODY.format(third=""), "BSD-2-Clause"),
+    "bsd3/LICENSE": (BSD_BODY.format(third=THIRD), "BSD-3-Clause"),
+    "isc/LICENSE": ("Copyright (c) 2004 Somebody\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", "ISC"),
+    "apache/LICENSE": ("\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "Apache-2.0"),
+    "a/wrapped.c": ("/*\n * Licensed under the Apache License, Version 2.0 (the\n * \"License\"); you may not use this file except in compliance with the\n * License.  You may obtain a copy of the License at\n *\n *    http://www.apache.org/licenses/LICENSE-2.0\n */\nint main;\n", "Apache-2.0"),
+    "a/gpl2.c": ("// This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation; either version 2 of the License, or\n// (at your option) any later version.\n\nint main;\n", "GPL-2.0"),
+    "a/gpl3.py": ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nimport x\n", "GPL-3.0"),
+    "a/tag.rs": ("// SPDX-License-Identifier: MIT\nfn main() {}\n", "MIT"),
+    "a/tag.c": ("/* SPDX-License-Identifier: GPL-2.0-or-later */\n", "GPL-2.0"),
+    "a/tag.h": ("/* SPDX-License-Identifier: LicenseRef-own */\n", None),
+    "a/extra.py": ("# Released under the MIT License by Example Ltd.\n", "MIT"),
+    "a/extra2.py": ("# This file is licensed under the Apache License, Version 2.0.\n", "Apache-2.0"),
+    "a/gpl2line.py": ("# This work is licensed under the GNU General Public License, version 2.\n", "GPL-2.0"),
+    "a/talk.md": ("We discuss at length which license would be best for the work of our project and its many users.\n", None),
+    "a/free.txt": ("Copyright (c) 2001 Somebody. All rights reserved.\n", None),
+}
+
+
+@pytest.mark.parametrize("more", [0, 300])
+def test_whole_licence_files_and_headers(spark, more):
+    """Titles with versions, bodies without titles, wrapped comments, tags and extra words, in a small and a larger corpus."""
+    rows = [(path, text) for path, (text, _) in CASES.items()] + [(f"z{i}/{i}.txt", f"Released under license {i} by holder{i}, copyright {i}.") for i in range(more)]
+    found = {r["file"]: r["licence"] for r in own_licences(spark.createDataFrame(rows, "file string, text string")).collect()}
+    assert {p: found.get(p) for p in CASES} == {p: want for p, (_, want) in CASES.items()}
+    assert len(found) == sum(want is not None for _, want in CASES.values())
+    clash = spark.createDataFrame([(*r, "x", 1.0, "y") for r in rows], "path string, text string, licence string, score double, file string")
+    assert license_scan(clash.repartition(3)).columns == ["path", "licence", "score", "found", "licence_dir"] and license_scan(clash).count() == len(rows)
+
+
 def test_nearest_recall_and_scores(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     out = nearest(vectors, vectors.where("vec_id % 20 = 0")).toPandas()
@@ -145,6 +187,9 @@ def test_revisits(spark):
         assert len(out) == 10 and got == {3: (2, "resolved"), 4: (1, "mismatch"), 5: (None, "orphan"), 6: (None, "orphan"), 7: (None, "orphan"), 8: (2, "resolved"), 9: (2, "mismatch"), 10: (None, "orphan"), 12: (1, "unchecked")}
         assert next(r["h"] for r in out if r["record_id"] == 3) == "content-length: 9\ndate: d3\nvary: a"
     assert resolve_revisits(df.limit(0)).count() == 0
+    same = [(1, "http://a.com/", 10, "response", None, None, d, {"server": d}) for d in ("a", "c", "b")] + [(2, "http://a.com/", ts, "revisit", None, None, "c", {}) for ts in (20, 9000)]
+    ties = resolve_revisits(spark.createDataFrame(same, df.schema).withColumn("url", F.lit("clash")).repartition(3)).collect()
+    assert [(r["full_id"], r["outcome"], r["headers"]) for r in ties] == [(1, "resolved", {"server": "c"})] * 2
     urls = spark.createDataFrame([("http://www.X.com:80/A?b=1&utm_medium=q&c=2#z",)], "u string").select(canonical_url(F.col("u"))).first()[0]
     assert urls == "x.com/A?b=1&c=2"
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spanlens.llm import langid, minhash, simhash
 from spanlens.llm.blocks import Words, slices
@@ -55,7 +56,7 @@ def test_repeats_equal_brute_force(spark):
 def test_repeats_take_awkward_rows(spark):
     docs = awkward(spark)
     found = remove_repeats(docs, carry=("n_words", "source"))
-    assert found.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "n_words", "source"]
+    assert found.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "n_words_in", "source"]
     rows = [(r[0], r[1]) for r in docs.collect()]
     assert sorted((tuple(r)[:4] for r in found.collect()), key=str) == brute_repeats(rows)
     assert remove_repeats(empty(spark)).count() == 0
@@ -277,8 +278,10 @@ def plain_grams(text):
     return out
 
 
-def test_language_equals_plain_naive_bayes(spark):
-    """Counts, priors and posteriors of a dictionary-based naive Bayes, on real texts and odd ones."""
+@pytest.mark.parametrize("most", [256, 2])
+def test_language_equals_plain_naive_bayes(spark, monkeypatch, most):
+    """Counts, priors and posteriors of a dictionary-based naive Bayes, on real texts and odd ones, in one part or more."""
+    monkeypatch.setattr(langid, "PART_LANGUAGES", most)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(120).union(awkward(spark).select("doc_id", "text", "lang").where("doc_id <> 9"))
     rows = docs.collect()
     counts, texts = defaultdict(lambda: defaultdict(int)), defaultdict(int)
@@ -295,7 +298,9 @@ def test_language_equals_plain_naive_bayes(spark):
         score = [math.log(texts[x] / sum(texts.values())) + sum(math.log((counts[x].get(g, 0) + langid.SMOOTHING) / whole[x]) for g in grams) for x in langs]
         top = max(range(len(langs)), key=lambda i: (score[i], -i))
         want.append((r["doc_id"], langs[top], round(1 / sum(math.exp(s - score[top]) for s in score), 6)) if grams else (r["doc_id"], "und", 0.0))
-    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs)).collect()
+    out = langid.identify(docs.select("doc_id", "text", F.lit("kept").alias("Score")), langid.train(docs))
+    assert out.columns == ["doc_id", "text", "Score_in", "lang_pred", "score"]
+    found = out.collect()
     assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in found), key=str) == sorted(want, key=str)
 
 
