@@ -26,7 +26,7 @@ from .tokens import load
 
 GROUPS, EPSILON, RANK_BUCKETS, MOST_ROUNDS = 64, 0.25, 256, 20_000
 SAND, KEEP = 16, (1, 0.75, 0.5, 0.25, 0.1, 0.05, 0.02)  # lengths up to this part of the capacity are sand; parts of the multiples that are tried
-CACHE = 500_000, 150_000  # words and parts that the tokenizer keeps: scans and windows need the memory
+CACHE = 400_000, 120_000  # words and parts that the tokenizer keeps: scans and windows need the memory
 
 
 def _table(value: np.ndarray, size: np.ndarray, room: int, most: np.ndarray | None = None) -> np.ndarray:
@@ -220,6 +220,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                         out.append((n, start - low, stop - start, zlib.crc32(data[4 * start : 4 * stop])))
                 docs = batch.column(0).slice(a, b - a).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([docs, *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]], names)
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -358,6 +358,7 @@ def _frames(path: str, end_id: int):
                 if size >= FRAME_TOKENS:
                     yield flush()
                     docs, sizes, tokens, size, chunk, start = [], [], [], 0, chunk + 1, start + size
+            pa.default_memory_pool().release_unused()
         if docs:
             yield flush()
 
