@@ -27,7 +27,7 @@ class Options:
     context_len: int = 2
     demo_num: int = 8
     span_demo_num: int = 4
-    retrieval: str = "kate"
+    retrieval: str = "dense"  # dense, blended or random
     alpha_token_match: float = 1.0
     alpha_embed_sim: float = 1.0
     entity_weight: float = 1.0

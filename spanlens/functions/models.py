@@ -69,6 +69,14 @@ def replay(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     return met.select("key", "out", F.when(F.col("out").isNull(), F.lit("no recorded response")).alias("error"))
 
 
+def answered(prompts: DataFrame, model: Callable | DataFrame, **calls) -> DataFrame:
+    """(key, out, error) of prompts(key, text) from a factory of models, or from recorded responses(key, text)."""
+    if not isinstance(model, DataFrame):
+        return generate(prompts, model, **calls)
+    found = replay(prompts.select(F.col("key").cast("string").alias("key")), model.select(F.col("key").cast("string").alias("key"), "text"))
+    return found.withColumn("key", F.col("key").cast(prompts.schema["key"].dataType))
+
+
 def missing_keys(prompts: DataFrame, answered: DataFrame) -> DataFrame:
     """Prompts that have no answer yet: what a second run has to ask."""
     return prompts.join(answered.where("error is null").select("key"), "key", "left_anti")

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.config import Options
 from spanlens.functions import align, parsing
-from spanlens.functions.models import generate
+from spanlens.functions.models import answered
 from spanlens.operators import metrics, prompts, reflection, retrieval, roles
 
 PARSERS: dict[str, Callable[[Column], Column]] = {"icl_json": parsing.parse_json, "icl_tagging": parsing.parse_tagged, "icl_code": parsing.parse_code}
+RETRIEVALS = ("dense", "blended", "random")
 NO_SPANS = f"cast(array() as {align.SPANS})"
 
 
@@ -47,21 +48,26 @@ class Training:
 
 
 def retrieve(train: Training, asked: DataFrame, o: Options, train_vectors: DataFrame | None = None, asked_vectors: DataFrame | None = None) -> DataFrame:
-    """(qid, rank, did, score) by the method of the options: kate (vectors), deer (vectors and tokens) or random."""
+    """(qid, rank, did, score) by the method of the options: dense (vectors), blended (vectors and tokens) or random.
+
+    Vectors have id and emb; a method that needs them raises without.
+    """
+    if o.retrieval not in RETRIEVALS:
+        raise ValueError(f"unknown retrieval {o.retrieval}; known: {', '.join(RETRIEVALS)}")
     if o.retrieval == "random":
         return retrieval.random_demos(train.sents, asked, o.demo_num, o.sample_seed)
-    if o.retrieval == "kate":
+    if train_vectors is None or asked_vectors is None:
+        raise ValueError(f"{o.retrieval} retrieval needs vectors of both sides")
+    if o.retrieval == "dense":
         return retrieval.knn_dense(train_vectors, asked_vectors, o.demo_num)
-    if o.retrieval == "deer":
-        return retrieval.knn_blended(train.sents, asked, train.stats, train_vectors, asked_vectors, o)
-    raise ValueError(f"unknown retrieval {o.retrieval}")
+    return retrieval.knn_blended(train.sents, asked, train.stats, train_vectors, asked_vectors, o)
 
 
 def unchanged(items: DataFrame) -> DataFrame:
     return items
 
 
-def run_icl(items: DataFrame, train: Training, retrieved: DataFrame, model: Callable, o: Options, before: Callable = unchanged, after: Callable = unchanged, **calls) -> DataFrame:
+def run_icl(items: DataFrame, train: Training, retrieved: DataFrame, model: Callable | DataFrame, o: Options, before: Callable = unchanged, after: Callable = unchanged, **calls) -> DataFrame:
     """Items with prompt, response and aligned predictions; rows whose call failed have an error and no entities.
 
     ``before`` and ``after`` are hooks on the items that go in and on the result.
@@ -70,8 +76,8 @@ def run_icl(items: DataFrame, train: Training, retrieved: DataFrame, model: Call
     asked = sentences_of(items)
     demos = train.sents.join(train.ents.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "name", "type"))).alias("ents")), "id", "left")
     prompt = prompts.icl_prompts(asked, demos, retrieved, o.template, o.types)
-    answers = generate(prompt.select(F.col("id").alias("key"), F.col("icl_prompt").alias("text")), model, **calls)
-    out = items.drop("icl_example_ids", "icl_prompt", "llm_response", "ent_list_pred").withColumn("key", F.col("id").cast("long"))
+    answers = answered(prompt.select(F.col("id").alias("key"), F.col("icl_prompt").alias("text")), model, **calls)
+    out = items.drop("icl_example_ids", "icl_prompt", "llm_response", "ent_list_pred", "error").withColumn("key", F.col("id").cast("long"))
     out = out.join(prompt.withColumnRenamed("id", "key"), "key", "left").join(answers.withColumnRenamed("out", "llm_response"), "key", "left")
     named = PARSERS[o.template](F.coalesce("llm_response", F.lit("")))
     return out.withColumn("ent_list_pred", as_entities(align.align_udf("tokens", named, "sentence"))).drop("key").transform(after)
@@ -81,7 +87,7 @@ def _spans(df: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
     return df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
 
-def run_token_reflection(items: DataFrame, train: Training, kind: str, model: Callable, o: Options, **calls) -> DataFrame:
+def run_token_reflection(items: DataFrame, train: Training, kind: str, model: Callable | DataFrame, o: Options, **calls) -> DataFrame:
     """Second look at missed (``fn``) or ``unseen`` tokens: items with ent_list_pred and ent_list_pred_prior.
 
     Sentences without a candidate keep their predictions; the others get a prompt with evidence, and of the answer those
@@ -106,7 +112,7 @@ def run_token_reflection(items: DataFrame, train: Training, kind: str, model: Ca
     listed = listed.withColumn("ents", F.coalesce("ents", none)).withColumn("spans", F.coalesce("spans", F.expr(NO_SPANS)))
     asked = listed.join(shown, "id")
     text = prompts.filled(f"reflect_{kind}", o.types, F.col("sentence"), F.col("evidence"), F.to_json("ents"))
-    answers = generate(asked.select(F.col("id").alias("key"), text.alias("text")), model, **calls)
+    answers = answered(asked.select(F.col("id").alias("key"), text.alias("text")), model, **calls)
     named = align.respelled_udf(parsing.parse_reflection(F.coalesce("out", F.lit(""))), F.col("sentence"))
     merged = asked.join(answers, asked.id == answers.key).select("id", F.col("out").alias("llm_response"), "error", align.merge_tokens_udf("tokens", "ents", named, "candidates", "spans").alias("merged"))
     return _with_merged(items, merged)
@@ -123,13 +129,15 @@ def evidence_neighbours(rows: DataFrame, o: Options) -> DataFrame:
 
 
 def _with_merged(items: DataFrame, merged: DataFrame) -> DataFrame:
-    out = items.drop("llm_response", "error", "ent_list_pred_prior").withColumn("key", F.col("id").cast("long")).join(merged.withColumnRenamed("id", "key"), "key", "left")
+    """Items with the lists of merged(id, merged) as predictions, what they were before, and its other columns."""
+    new = [c for c in merged.columns if c not in ("id", "merged")]
+    out = items.drop(*new, "ent_list_pred_prior").withColumn("key", F.col("id").cast("long")).join(merged.withColumnRenamed("id", "key"), "key", "left")
     out = out.withColumn("ent_list_pred_prior", F.col("ent_list_pred"))
     fresh = F.when(F.col("merged").isNull(), F.col("ent_list_pred")).otherwise(as_entities(F.col("merged")))
     return out.withColumn("ent_list_pred", fresh).drop("key", "merged")
 
 
-def run_boundary_reflection(items: DataFrame, train: Training, model: Callable, o: Options, **calls) -> DataFrame:
+def run_boundary_reflection(items: DataFrame, train: Training, model: Callable | DataFrame, o: Options, **calls) -> DataFrame:
     """(span_id, id, n, ents): one row per predicted entity, after a second look at those with doubtful boundaries."""
     sents, pred = sentences_of(items), entities_of(items, "ent_list_pred").drop("ent_ord")
     rows = reflection.annotated_tokens(sents, pred, train.stats)
@@ -145,7 +153,7 @@ def run_boundary_reflection(items: DataFrame, train: Training, model: Callable,
     listed = listed.join(tokens.groupBy("key").agg(F.collect_set("token").alias("marks")), "key", "left")
     one = F.struct("name", "type", "s", "e")
     text = prompts.filled("reflect_boundary", o.types, F.col("sentence"), F.col("evidence"), F.to_json(one))
-    answers = generate(listed.where("evidence is not null").select("key", text.alias("text")), model, **calls)
+    answers = answered(listed.where("evidence is not null").select("key", text.alias("text")), model, **calls)
     met = listed.join(answers, "key", "left")
     named = align.respelled_udf(parsing.parse_boundary(F.coalesce("out", F.lit(""))), F.col("sentence"))
     others = F.filter("ents", lambda x: (x["s"] != F.col("s")) | (x["e"] != F.col("e")) | (x["name"] != F.col("name")))
@@ -155,16 +163,51 @@ def run_boundary_reflection(items: DataFrame, train: Training, model: Callable,
     return met.select(F.col("key").alias("span_id"), "id", "n", ents.alias("ents"), "out", "error")
 
 
+SPAN_ROWS = f"span_id string, id long, n int, ents {align.SPANS}, out string, error string"
+
+
+def read_spans(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of ``run_boundary_reflection`` that were written as JSON lines."""
+    return spark.read.schema(SPAN_ROWS).json(path)
+
+
+def boundary_items(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """Items with the entities of their spans, in order, as predictions; those without spans keep theirs."""
+    rows = F.array_sort(F.collect_list(F.struct("n", "ents", "out")))
+    merged = spans.groupBy("id").agg(rows.alias("rows"), F.max("error").alias("error"))
+    return _with_merged(items, merged.select("id", F.array_join("rows.out", "\n").alias("llm_response"), "error", F.flatten("rows.ents").alias("merged")))
+
+
+def stop_at_errors(items: DataFrame, stage: str) -> None:
+    """Raise where the stage has no rows or rows whose model call failed."""
+    found = items.agg(F.count("*").alias("n"), F.count("error").alias("failed"), F.max("error").alias("error")).first()
+    if not found["n"] or found["failed"]:
+        raise RuntimeError(f"stage {stage}: {found['failed']} of {found['n']} rows failed, such as: {found['error']}")
+
+
+def _once(items: DataFrame) -> None:
+    again = items.groupBy("id").count().where("count > 1").first()
+    if again is not None:
+        raise ValueError(f"sentence {again['id']} has {again['count']} rows of labels; it needs exactly one")
+
+
 def evaluate(items: DataFrame, o: Options) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 of items' predictions against their labels."""
+    """tp, fp, fn, precision, recall, f1 of items' predictions against their labels; an id that repeats raises."""
+    _once(items)
     keys = metrics.confusion(entities_of(items), entities_of(items, "ent_list_pred"), sentences_of(items), o.types)
     return metrics.scores(keys)
 
 
+def evaluate_boundary(items: DataFrame, spans: DataFrame, o: Options) -> DataFrame:
+    """The same scores of span rows, against the labels of the sentences that have any."""
+    _once(items)
+    return metrics.scores(metrics.boundary_keys(entities_of(items), spans.select("span_id", "ents"), sentences_of(items), o.types))
+
+
 def filter_single_tokens(items: DataFrame, train: Training) -> DataFrame:
     """Items without predictions of one token that never is an entity by itself; the list before becomes the prior."""
     kept = reflection.without_single_token_fp(entities_of(items, "ent_list_pred"), train.stats, train.counts)
     lists = _spans(kept, "merged", ("s", "e", "name", "type"))
     all_ = sentences_of(items).select("id").join(lists, "id", "left")
     none = F.expr("cast(array() as array<struct<s:int,e:int,name:string,type:string>>)")
-    return _with_merged(items, all_.select("id", F.lit(None).cast("string").alias("llm_response"), F.lit(None).cast("string").alias("error"), F.coalesce("merged", none).alias("merged")))
+    return _with_merged(items, all_.select("id", F.coalesce("merged", none).alias("merged")))

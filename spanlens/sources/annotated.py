@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ REFLECT = T.StructType().add("fp_tokens", T.ArrayType(TOK)).add("fn_tokens", T.A
 ITEM = (
     T.StructType().add("split", _S).add("id", _S).add("tokens", T.ArrayType(_S)).add("ent_list", T.ArrayType(ENT)).add("sentence", _S)
     .add("icl_example_ids", T.ArrayType(_S)).add("icl_prompt", _S).add("llm_response", _S).add("ent_list_pred", T.ArrayType(ENT)).add("ent_list_pred_prior", T.ArrayType(ENT))
-    .add("reflect_tokens", REFLECT).add("reflect_prompt", _S).add("boundary_tokens", T.ArrayType(TOK))
+    .add("reflect_tokens", REFLECT).add("reflect_prompt", _S).add("boundary_tokens", T.ArrayType(TOK)).add("error", _S)
 )
 
 
@@ -25,12 +28,12 @@ def split_path(data_dir: str, split: str) -> str:
     return f"{data_dir}/{split}.jsonl"
 
 
-def result_path(root: str, options, stage: str) -> str:
-    """Key of a run: everything that changes its result is part of the path."""
+def result_path(root: str, options, stage: str, run: dict | None = None) -> str:
+    """Key of a run: the main options in words, and a hash of all options and of ``run``, what else changes its result."""
     o = options
     size = f"train{o.train_num or 'all'}_eval{o.eval_num or 'all'}_seed{o.sample_seed}"
-    weights = f"{o.alpha_token_match}_{o.alpha_embed_sim}_{o.entity_weight}_{o.context_weight}_{o.other_weight}"
-    return f"{root}/{o.task}/{size}/{o.retrieval}_{o.demo_num}_{weights}/{stage}"
+    whole = json.dumps([asdict(o), stage, run or {}], sort_keys=True, default=str)
+    return f"{root}/{o.task}/{size}/{o.retrieval}_{o.demo_num}_{o.template}_{hashlib.sha256(whole.encode()).hexdigest()[:16]}/{stage}"
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:

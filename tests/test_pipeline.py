@@ -69,6 +69,39 @@ def test_command_line(spark, folder, tmp_path):
     score = cli.main(["evaluate", "--data", str(folder), "--prior", path], spark)
     assert score.first()["f1"] == 1.0
     assert cli.options(cli.parser().parse_args(["fn", "--data", "x", "--preset", "ncbi", "--span-demo-num", "9"])).span_demo_num == 9 and set(PRESETS) == {"ncbi", "conll03", "bc2gm", "ontonotes", "tweetner7"}
+    with pytest.raises(ValueError, match="vectors"):
+        cli.main(["icl", "--data", str(folder), "--out", str(tmp_path)], spark, Answers)
+    with pytest.raises(ValueError, match="model-type"):
+        cli.main(["icl", "--data", str(folder), "--out", str(tmp_path), "--retrieval", "random"], spark)
+
+
+@pytest.mark.parametrize("method", ["dense", "blended"])
+def test_chain_on_stand_ins(spark, folder, tmp_path, method):
+    """Vectors by the hash backend with a cache, all stages in turn, boundary rows and items scored."""
+    args = ["--data", str(folder), "--out", str(tmp_path / "out"), "--cache", str(tmp_path / "cache"), "--retrieval", method, "--emb-type", "hash", "--demo-num", "2", "--filter-single-token-fp", "--exact-sample", "--train-num", "20"]
+    path = cli.main(["chain", *args], spark, Answers)
+    assert path.endswith("/boundary") and cli.main(["evaluate", *args, "--prior", path], spark).first()["f1"] == 1.0
+    assert cli.main(["evaluate-boundary", *args, "--prior", f"{path}_spans"], spark).first()["f1"] == 1.0
+    kept = sorted(p.relative_to(tmp_path).as_posix() for p in (tmp_path / "cache").rglob("_SUCCESS"))
+    assert len(kept) == (3 if method == "dense" else 2)
+    again = cli.main(["icl", *args, "--template", "icl_tagging"], spark, Answers)
+    assert again.split("/")[-2] != path.split("/")[-2] and len([*(tmp_path / "cache").rglob("_SUCCESS")]) == len(kept)
+
+
+def test_recorded_answers_and_a_chain_that_stops(spark, folder, tmp_path):
+    answers = tmp_path / "answers.jsonl"
+    rows = [json.loads(x) for x in (folder / "test.jsonl").read_text().splitlines()]
+    text = lambda r: json.dumps({"named entities": [{"name": e["name"], "type": "PER"} for e in r["ent_list"]]})
+    answers.write_text("\n".join(json.dumps({"key": r["id"], "text": text(r)}) for r in rows))
+    args = ["--data", str(folder), "--retrieval", "random", "--model-type", "replay", "--responses", str(answers)]
+    path = cli.main(["icl", *args, "--out", str(tmp_path / "a")], spark)
+    assert cli.main(["evaluate", *args, "--prior", path], spark).first()["f1"] == 1.0
+    answers.write_text("\n".join(answers.read_text().splitlines()[:3]))
+    with pytest.raises(RuntimeError, match="3 of 6 rows failed"):
+        cli.main(["chain", *args, "--out", str(tmp_path / "b")], spark)
+    items = A.read_items(spark, A.split_path(str(folder), "test"))
+    with pytest.raises(ValueError, match="exactly one"):
+        P.evaluate(items.union(items).withColumn("ent_list_pred", items["ent_list"]), Options())
 
 
 def test_stream(spark, folder, tmp_path):
