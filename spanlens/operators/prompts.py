@@ -36,27 +36,21 @@ def tagged(tokens: list[str], ents) -> str:
     return " ".join([*out, *tokens[at:]])
 
 
-def code_lines(sentence: str, ents) -> str:
-    lines = [f'entity_list.append({{"text": "{x["name"]}", "type": "{x["type"]}"}})' for x in sorted(ents, key=lambda x: x["s"])]
-    return "\n".join([f'input_text = "{sentence}"', "entity_list = []", *lines])
+def block(template: str, tokens: Column, sentence: Column, ents: Column) -> Column:
+    """One demonstration; ents are in the order of their start. JSON's ASCII escapes and marks among tokens are UDFs over the row."""
+    if template == "icl_code":
+        line = lambda x: F.concat(F.lit('\nentity_list.append({"text": "'), x["name"], F.lit('", "type": "'), x["type"], F.lit('"})'))
+        return F.concat(F.lit('input_text = "'), sentence, F.lit('"\nentity_list = []'), F.coalesce(F.array_join(F.transform(ents, line), ""), F.lit("")))
 
-
-def block(template: str):
-    """UDF (tokens, sentence, ents) -> one demonstration."""
-
-    def one(tokens, sentence, ents) -> str:
-        ents = list(ents if ents is not None else [])
-        if template == "icl_tagging":
-            return f"Input: {sentence}\nOutput: {tagged(list(tokens), ents)}"
-        if template == "icl_code":
-            return code_lines(sentence, ents)
-        return f"Input: {sentence}\nOutput: {json_entities(ents)}"
+    @F.pandas_udf("string")
+    def marked(tokens: pd.Series, ents: pd.Series) -> pd.Series:
+        return pd.Series([tagged(list(t), [] if e is None else e) for t, e in zip(tokens, ents, strict=True)])
 
     @F.pandas_udf("string")
-    def run(tokens: pd.Series, sentence: pd.Series, ents: pd.Series) -> pd.Series:
-        return pd.Series([one(*x) for x in zip(tokens, sentence, ents, strict=True)])
+    def listed(ents: pd.Series) -> pd.Series:
+        return pd.Series([json_entities([] if e is None else e) for e in ents])
 
-    return run
+    return F.concat(F.lit("Input: "), sentence, F.lit("\nOutput: "), marked(tokens, ents) if template == "icl_tagging" else listed(ents))
 
 
 def filled(template: str, types, sentence: Column, examples: Column, predicted: Column | None = None) -> Column:
@@ -72,7 +66,7 @@ def icl_prompts(queries: DataFrame, demos: DataFrame, retrieved: DataFrame, temp
 
     demos(id, tokens, sentence, ents); retrieved(qid, rank, did).
     """
-    blocks = demos.select(F.col("id").alias("did"), block(template)("tokens", "sentence", "ents").alias("block"))
+    blocks = demos.select(F.col("id").alias("did"), block(template, F.col("tokens"), F.col("sentence"), F.col("ents")).alias("block"))
     met = retrieved.select("qid", "rank", "did").join(blocks, "did")
     rows = met.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("turn"), "did", "block"))).alias("rows"))
     out = queries.join(rows, queries.id == rows.qid)

@@ -6,6 +6,7 @@ set, against all others.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,12 +59,17 @@ class Base:
         return made
 
 
+def stepwise(sql: str) -> str:
+    """The SQL with every named step made a table of its own, so that no step is planned or run twice."""
+    return re.sub(r"(WITH|,)(\s+)(\w+) AS \((?=\s*SELECT)", r"\1\2\3 AS MATERIALIZED (", sql)
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[Base], DataFrame]):
         name = f.__name__
         QUERIES[name] = lambda spark, sf_dir: f(Base(spark, sf_dir))
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = stepwise(sql)
         return f
 
     return add
@@ -359,8 +365,9 @@ def fn_spans_greedy(b: Base) -> DataFrame:
 BOUNDARY = ALL + f""", doubt AS (SELECT DISTINCT pred.* FROM pred LEFT JOIN counts USING (name) WHERE coalesce(NOT ((ent_count > 0 AND non_ent_count = 0) OR ent_count > 2 * non_ent_count), true)
 ), fpt AS (SELECT id, pos FROM lk WHERE r_ent = 0 AND n_tot > {RARE} AND inside
 ), spot AS (SELECT d.*, unnest(list_distinct([s - 1, s, e, e + 1])) AS pos FROM doubt d
-), other AS (SELECT spot.id, spot.s, spot.pos FROM spot JOIN pred p ON p.id = spot.id AND spot.pos BETWEEN p.s AND p.e AND (p.s <> spot.s OR p.e <> spot.e)
-), spots AS (SELECT * FROM spot ANTI JOIN other USING (id, s, pos) UNION SELECT d.*, fpt.pos FROM doubt d JOIN fpt ON fpt.id = d.id AND fpt.pos BETWEEN d.s AND d.e
+), held AS (SELECT id, s AS hs, e AS he, unnest(range(s, e + 1)) AS pos FROM pred
+), other AS (SELECT DISTINCT spot.id, spot.s, spot.pos FROM spot JOIN held USING (id, pos) WHERE hs <> spot.s OR he <> spot.e
+), spots AS (SELECT * FROM spot ANTI JOIN other USING (id, s, pos) UNION SELECT d.* FROM (SELECT *, unnest(range(s, e + 1)) AS pos FROM doubt) d SEMI JOIN fpt USING (id, pos)
 ), bt AS (SELECT spots.id, spots.s, spots.e, spots.name, spots.type, spots.pos, token FROM spots JOIN lk ON lk.id = spots.id AND lk.pos = spots.pos
   WHERE instr({MARKS}, token) = 0 AND n_tot IS NOT NULL AND CASE WHEN spots.pos < spots.s OR spots.pos > spots.e THEN coalesce(n_ent / nullif(n_ent + n_ctx, 0), 0) > 0.5 OR r_ent > 0.5 ELSE coalesce(n_ent / nullif(n_ent + n_ctx, 0), 0) < 0.5 END)"""
 
@@ -463,6 +470,27 @@ def merge_boundary(b: Base) -> DataFrame:
     return _spans(rows, align.merge_boundary_udf("tokens", one, others, proposed, "marks"))
 
 
+SPELLED = r"""array_to_string(list_transform(string_split(replace(replace(name, '\', '\\'), '"', '\"'), ''), lambda c: CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN format('\u{:04x}', unicode(c))
+  ELSE format('\u{:04x}\u{:04x}', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END), '')"""
+BLOCKS = {
+    "icl_json": f"""SELECT sent.id AS did, 'Input: ' || sentence || chr(10) || 'Output: {{"named entities": [' || coalesce(string_agg('{{"name": "' || {SPELLED} || '", "type": "' || type || '"}}', ', ' ORDER BY s), '') || ']}}' AS block
+      FROM sent LEFT JOIN ent USING (id) GROUP BY sent.id, sentence""",
+    "icl_tagging": """SELECT sent.id AS did, 'Input: ' || sentence || chr(10) || 'Output: ' || coalesce(string_agg(CASE WHEN i.s IS NULL THEN token ELSE '[ ' || name || ' | ' || type || ' ]' END, ' ' ORDER BY tok.pos) FILTER (WHERE i.s IS NULL OR i.s = tok.pos), '') AS block
+      FROM sent LEFT JOIN tok ON tok.id = sent.id LEFT JOIN (SELECT *, CAST(unnest(range(s, e + 1)) AS INTEGER) AS pos FROM ent) i ON i.id = tok.id AND i.pos = tok.pos GROUP BY sent.id, sentence""",
+    "icl_code": """SELECT sent.id AS did, 'input_text = "' || sentence || '"' || chr(10) || 'entity_list = []' || coalesce(chr(10) || string_agg('entity_list.append({"text": "' || name || '", "type": "' || type || '"})', chr(10) ORDER BY s), '') AS block
+      FROM sent LEFT JOIN ent USING (id) GROUP BY sent.id, sentence""",
+}
+
+
+def _prompt_sql(template: str) -> str:
+    text = prompts.TEMPLATES[template].replace("{{types}}", ", ".join(TYPES)).replace("'", "''")
+    return f"""WITH {MATCH}, near AS (SELECT qid, did, row_number() OVER w AS rank FROM match WINDOW w AS (PARTITION BY qid ORDER BY round(score, 9) DESC, did DESC) QUALIFY row_number() OVER w <= {O.demo_num}
+), blocks AS ({BLOCKS[template]}
+), shown AS (SELECT qid, count(*) AS n, string_agg(block, chr(10) || chr(10) ORDER BY rank DESC) AS examples FROM near JOIN blocks USING (did) GROUP BY qid
+), filled AS (SELECT id, n, replace(replace('{text}', '{prompts.SENTENCE}', sentence), '{prompts.EXAMPLES}', examples) AS p FROM sent JOIN shown ON qid = id)
+SELECT id, CAST(n AS INTEGER) AS n_demos, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_chars FROM filled"""
+
+
 def _prompt(template: str):
     def f(b: Base) -> DataFrame:
         near = retrieval.ranked(retrieval.token_match(b.sents, b.asked, b.train_stats, O), O.demo_num)
@@ -471,7 +499,7 @@ def _prompt(template: str):
         return out.select("id", F.size("icl_example_ids").alias("n_demos"), F.md5("icl_prompt").alias("prompt_md5"), F.length("icl_prompt").alias("prompt_chars"))
 
     f.__name__ = template.replace("icl_", "icl_prompt_")
-    return query()(f)
+    return query(_prompt_sql(template))(f)
 
 
 for _name in ("icl_json", "icl_tagging", "icl_code"):
@@ -519,7 +547,7 @@ def replay_llm(b: Base) -> DataFrame:
     return replay(b.sents.select(F.col("id").alias("key")), b.responses.select(F.col("id").alias("key"), F.col("as_tags").alias("text")))
 
 
-@query()
+@query(f"WITH {TOK} SELECT token AS key, 16 AS dim, round(('0x' || substr(sha256(token), 1, 2))::INTEGER / 255 - 0.5, 6) AS first FROM (SELECT DISTINCT token FROM tok)")
 def embed_vocab_stub(b: Base) -> DataFrame:
     from spanlens.functions.models import HashEmbedding, embed
 

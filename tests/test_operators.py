@@ -104,11 +104,13 @@ def test_single_token_filter(spark):
     assert {r["name"] for r in reflection.without_single_token_fp(pred, stats, counts).collect()} == {"y", "x y"}
 
 
-def test_prompt_blocks():
+def test_prompt_blocks(spark):
     ents = [{"name": "New York", "type": "LOC", "s": 1, "e": 2}]
     assert prompts.tagged("in New York é".split(), ents) == "in [ New York | LOC ] é"
     assert prompts.json_entities([{"name": "é", "type": "T"}]) == '{"named entities": [{"name": "\\u00e9", "type": "T"}]}'
-    assert prompts.code_lines("s", ents).endswith('entity_list.append({"text": "New York", "type": "LOC"})')
+    row = spark.createDataFrame([(["s"], "s", ents), (["t"], "t", None)], "tokens array<string>, sentence string, ents array<struct<name:string,type:string,s:int,e:int>>")
+    lines = row.select(prompts.block("icl_code", *[row[c] for c in row.columns]).alias("b")).collect()
+    assert [r["b"] for r in lines] == ['input_text = "s"\nentity_list = []\nentity_list.append({"text": "New York", "type": "LOC"})', 'input_text = "t"\nentity_list = []']
     one = {"token": "Bank", "stats": (1, 5, 0), "status": "part of the entity", "examples": [{"role": "entity", "rows": [{"ent_span": "Bank", "ent_type": "O", "cxt": "the Bank"}] * 2}]}
     text = prompts.evidence_text("boundary", [one, {"token": "rare", "stats": None, "status": "part of the context", "examples": []}])
     assert "['Bank', 'rare']" in text and "1 vs 5" in text and text.count("Input: the Bank") == 1 and "rare or absent" in text
