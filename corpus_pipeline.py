@@ -26,19 +26,29 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language stays below LEAST_SCORE, go."""
+    """Documents without a letter, or whose language stays below LEAST_SCORE, go: null and empty texts among them.
+
+    Rows that repeat are judged alike; null ids and other nulls don't matter; an empty table stays empty.
+    """
     plain, text = _plain(docs), f"c{docs.columns.index('text')}"
     found = identify(plain, train(docs.select("text", "lang")), text)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates (Jaccard of five-word shingles, 0.8) the document with the smallest id stays.
+
+    Texts without words (null ones, too) are alike. Rows that repeat an id count as one document; the one with the least
+    hash of its text stays. Rows without an id stay as they are; an empty table stays empty.
+    """
     return near_duplicates(docs, width=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under passages that a smaller document also has go; a document left without words goes."""
+    """Words under passages that a smaller document also has go; a document left without words goes.
+
+    Rows without an id or a text stay as they are; rows that repeat an id never cut each other; n_chars follows a cut text.
+    """
     plain, at = _plain(docs), {c: f"c{i}" for i, c in enumerate(docs.columns)}
     carry = tuple(at[c] for c in docs.columns if c not in ("doc_id", "text"))
     out = remove_repeats(plain, at["doc_id"], at["text"], carry).where("n_removed = 0 or n_removed < n_words")
@@ -49,17 +59,25 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (not at all to twice), so that sources come near their targets."""
+    """Each document as often as the mix takes it (not at all to twice), so that sources come near their targets.
+
+    Null sources are one source, null texts have no words and go as often as their source goes whole. Within a source a
+    hash of id and text decides, so rows that repeat both are taken alike; an empty table stays empty.
+    """
     return copies(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of 4096 tokens."""
+    """The pieces of all documents, placed in sequences of 4096 tokens.
+
+    A null or empty text is its end token; rows that repeat are packed each for itself; null ids are kept; an empty
+    table gives no rows.
+    """
     return pack(docs, tokenizer_path())
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("repeats", repeats), ("mix", mix), ("packed", packed)]
-#: Bayes scores, hashes by seed and the packing program aren't SQL; tests hold each stage against a brute-force version.
+#: Bayes scores, hashes by seed and the packing program aren't SQL; tests/llm holds each stage against a brute-force version on small tables.
 ORACLE_SQL = None
 
 
