@@ -119,8 +119,9 @@ class GrayIndex:
 
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query index, print index) within the radius, a few queries at a time."""
-        for start in range(0, len(queries), QUERIES):
-            part = queries[start : start + QUERIES]
+        step = QUERIES if queries.ndim == 1 else QUERIES // 8  # rows of words take more room for each pair
+        for start in range(0, len(queries), step):
+            part = queries[start : start + step]
             pattern, shared = self.levels[-1]
             q, node = np.divmod(np.arange(len(part) * len(pattern)), len(pattern))
             gone = _ones((part[q] ^ pattern[node]) & shared[node])
