@@ -47,6 +47,7 @@ class _Powers:
 
 
 _BYTES, _LETTERS, _WORDS = _stream(7, 256), _Powers(0x9E3779B97F4A7C15 | 1), _Powers(0xD6E8FEB86659FD93 | 1)
+_BYTES_AGAIN, _LETTERS_AGAIN, _WORDS_AGAIN = _stream(11, 256), _Powers(0xA0761D6478BD642F | 1), _Powers(0xE7037ED1A0B428DB | 1)
 
 
 def _runs(values: np.ndarray, powers: _Powers) -> np.ndarray:
@@ -99,6 +100,14 @@ class Words:
         _, down = _WORDS.get(len(self._total))
         return mix((self._total[stop] - self._total[start]) * down[start] + (stop - start).astype(U))
 
+    def checks(self, at: np.ndarray, width: int) -> np.ndarray:
+        """A second hash, of 31 bits and independent of the first, of the ``width`` words from each of ``at`` on."""
+        total = _runs(_BYTES_AGAIN[self.data], _LETTERS_AGAIN)
+        _, down = _LETTERS_AGAIN.get(len(self.data) + 1)
+        words = _runs(mix((total[self.end] - total[self.start]) * down[self.start]), _WORDS_AGAIN)
+        _, down = _WORDS_AGAIN.get(len(words))
+        return (mix((words[at + width] - words[at]) * down[at]) >> U(33)).astype(np.int32)
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``width`` words from each word on, and whether they lie in one row."""
         n = len(self.key)

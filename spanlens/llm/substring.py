@@ -30,7 +30,7 @@ from .shared import free_names, release, stored
 
 COVER, PERIOD, ANCHOR = (0, 1, 3), 7, 7
 WINDOW = ANCHOR + PERIOD - 1
-_ROWS = "doc long, key long, known boolean"
+_ROWS = "doc long, key long, check int, known boolean"
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -42,24 +42,24 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, key[at] & ~U(0xFFFF)
 
 
-def _fold(doc: np.ndarray, key: np.ndarray, first_too: bool) -> Iterator[pa.RecordBatch]:
-    """One open row a key (its smallest document); rows already known to share it pass as known."""
+def _fold(doc: np.ndarray, key: np.ndarray, check: np.ndarray, first_too: bool) -> Iterator[pa.RecordBatch]:
+    """One open row a (key, check), its smallest document; rows already known to share it pass as known."""
     if not len(doc):
         return
-    order = np.lexsort((doc, key))
-    doc, key = doc[order], key[order]
-    fresh = np.ones(len(doc), dtype=bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    doc, key = doc[fresh], key[fresh]
+    order = np.lexsort((doc, check, key))
+    doc, key, check = doc[order], key[order], check[order]
     head = np.ones(len(doc), dtype=bool)
-    head[1:] = key[1:] != key[:-1]
+    head[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    fresh = head.copy()
+    fresh[1:] |= doc[1:] != doc[:-1]
+    doc, key, check, head = doc[fresh], key[fresh], check[fresh], head[fresh]
     known = ~head
     if first_too:
         known[:-1] |= known[1:]
-    d, k = np.concatenate([doc[head], doc[known]]), np.concatenate([key[head], key[known]])
+    d, k, c = (np.concatenate([x[head], x[known]]) for x in (doc, key, check))
     flag = np.zeros(len(d), dtype=bool)
     flag[head.sum() :] = True
-    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k.view(np.int64)), pa.array(flag)], ["doc", "key", "known"])
+    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k.view(np.int64)), pa.array(c), pa.array(flag)], ["doc", "key", "check", "known"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,27 +71,28 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(ids[a:b][words.row[at]])
             keys.append(key)
         if docs:
-            yield from _fold(np.concatenate(docs), np.concatenate(keys), True)
+            keys = np.concatenate(keys)
+            yield from _fold(np.concatenate(docs), keys, np.zeros(len(keys), dtype=np.int32), True)
 
 
 def _shared(first_too: bool):
-    """Walk rows sorted by (known, key, doc): emit known rows, and open rows of keys with another document.
+    """Walk rows sorted by (known, key, check, doc): emit known rows, and open rows of groups with another document.
 
-    first_too: also the smallest document of such a key.
+    A group is the rows of one (key, check). first_too: also the smallest document of such a group.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, least, was = None, 0, False  # the open group: its key, smallest document, and whether another came
+        last, least, was = None, 0, False  # the open group: its key and check, smallest document, and whether another came
         for batch in batches:
-            doc, key, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            doc, key, check, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             out_d, out_k = [doc[known]], [key[known]]
-            doc, key = doc[~known], key[~known]
+            doc, key, check = doc[~known], key[~known], check[~known]
             if len(doc):
                 head = np.ones(len(doc), dtype=bool)
-                head[1:] = key[1:] != key[:-1]
+                head[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
                 group, low, keys = np.cumsum(head) - 1, doc[head], key[head]
                 old = np.zeros(len(low), dtype=bool)
-                if keys[0] == last:
+                if (keys[0], check[0]) == last:
                     low[0], old[0] = least, was
                 later = doc > low[group]
                 hit = old.copy()
@@ -101,7 +102,7 @@ def _shared(first_too: bool):
                 if first_too:
                     out_d.append(low[hit & ~old])
                     out_k.append(keys[hit & ~old])
-                last, least, was = keys[-1], low[-1], bool(hit[-1])
+                last, least, was = (keys[-1], check[-1]), low[-1], bool(hit[-1])
             d, k = np.concatenate(out_d), np.concatenate(out_k)
             if len(d):
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64())], ["doc", "key"])
@@ -111,7 +112,7 @@ def _shared(first_too: bool):
 
 def _exchange(rows: DataFrame, first_too: bool) -> DataFrame:
     spread = F.when(F.col("known"), F.xxhash64("doc", "key")).otherwise(F.col("key"))
-    dealt = rows.repartition(spread).sortWithinPartitions("known", "key", "doc")
+    dealt = rows.repartition(spread).sortWithinPartitions("known", "key", "check", "doc")
     return dealt.mapInArrow(_shared(first_too), "doc long, key long")
 
 
@@ -125,7 +126,7 @@ def _members(words: Words, rows: np.ndarray, keys: np.ndarray, lists: pa.Array)
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, docs, keys = batch.column(0).to_numpy(zero_copy_only=False), [], []
+        ids, docs, keys, checks = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
         for a, b in slices(batch.column(1)):
             words = Words(batch.column(1).slice(a, b - a))
             at, key = _anchors(words)
@@ -137,8 +138,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = np.flatnonzero((np.cumsum(near[:-1]) > 0) & whole)
             docs.append(ids[a:b][words.row[pick]])
             keys.append(window[pick])
+            checks.append(words.checks(pick, WINDOW))
         if docs:
-            yield from _fold(np.concatenate(docs), np.concatenate(keys), False)
+            yield from _fold(np.concatenate(docs), np.concatenate(keys), np.concatenate(checks), False)
 
 
 def _removal(carried: list[str]):
@@ -186,7 +188,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same words so joined; the text as it is, empty for null, where none was removed).
     A null text has no words; a null id takes no part (its words stay, and nothing is removed on its account); rows
     that repeat an id count as one document, so they never remove each other's words. Columns named in ``carry`` come
-    along as they are after these, with ``_in`` behind a name that is one of these; others are left out. Equality of windows is that of 64-bit hashes of their words.
+    along as they are after these, with ``_in`` behind a name that is one of these; others are left out. Windows of two documents are equal
+    if two independent hashes of their words, 95 bits together, are.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)])

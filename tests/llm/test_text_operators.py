@@ -53,6 +53,25 @@ def test_repeats_equal_brute_force(spark):
     assert sorted(map(tuple, found.drop("kept_text").collect()), key=str) == brute_repeats(rows)
 
 
+def test_windows_are_told_apart_by_two_hashes():
+    """Rows of one key but different checks are no group; a group that goes on over batches is one."""
+    from spanlens.llm.substring import _fold, _shared
+
+    key, check = np.array([5, 5, 5, 5, 9], dtype=np.uint64), np.array([1, 1, 2, 2, 1], dtype=np.int32)
+    batch = next(_fold(np.array([3, 7, 4, 4, 1]), key, check, False))
+    assert sorted(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)) == [(1, 9, 1, False), (3, 5, 1, False), (4, 5, 2, False), (7, 5, 1, True)]
+    rows = [(2, 5, 1, False), (3, 5, 1, False), (9, 5, 2, False), (6, 7, 1, False), (8, 7, 1, False)]
+    names = ["doc", "key", "check", "known"]
+    parts = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[a:b]]) for a, b in ((0, 1), (1, 4), (4, 5))]
+    found = [r for b in _shared(False)(iter(parts)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert found == [(3, 5), (8, 7)]
+    words = Words(pa.array([" ".join(f"w{i % 17}" for i in range(60)), "x y"]))
+    _, whole = words.windows(13)
+    at = np.flatnonzero(whole)
+    checks = words.checks(at, 13)
+    assert len(set(checks.tolist())) == 17 and (checks[17:34] == checks[:17]).all()
+
+
 def test_repeats_take_awkward_rows(spark):
     docs = awkward(spark)
     found = remove_repeats(docs, carry=("n_words", "source"))
