@@ -356,7 +356,13 @@ def fn_span_candidates(b: Base) -> DataFrame:
     return reflection.fn_span_candidates(_all_rows(b), b.sents, b.labelled, b.counts, O)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PRED}, cand AS (SELECT * FROM ({ORACLES["fn_span_candidates"]})
+), best AS (SELECT cand.* FROM cand WHERE NOT EXISTS (SELECT 1 FROM pred WHERE pred.id = cand.id AND pred.s <= cand.e AND pred.e >= cand.s)
+  QUALIFY row_number() OVER (PARTITION BY cand.id, cand.s ORDER BY cand.e DESC, cand.name) = 1
+), good AS (SELECT * FROM best WHERE aligned AND e > s
+), step AS (SELECT a.id, a.s, a.e, a.name, a.type, min(b.s) AS after FROM good a LEFT JOIN good b ON b.id = a.id AND b.s > a.e GROUP BY ALL
+), picked AS ((SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY id ORDER BY s) = 1) UNION ALL (SELECT step.* FROM picked JOIN step ON step.id = picked.id AND step.s = picked.after))
+  SELECT id, name, type, s, e FROM picked""")
 def fn_spans_greedy(b: Base) -> DataFrame:
     found = reflection.fn_spans(fn_span_candidates(b), b.pred)
     return found.select("id", F.explode("spans").alias("x")).select("id", "x.*")
@@ -432,18 +438,49 @@ def _spans(df: DataFrame, column) -> DataFrame:
     return df.select("id", F.explode(column).alias("x")).select("id", "x.name", "x.type", "x.s", "x.e")
 
 
-@query()
+def occurrences_sql(names: str) -> str:
+    return f"""SELECT n.id, name, list(pos ORDER BY pos) AS spots FROM (SELECT DISTINCT id, name, string_split(name, ' ') AS words FROM {names}) n JOIN tok ON tok.id = n.id AND token = words[1] JOIN sent ON sent.id = n.id
+  WHERE tokens[pos + 1:pos + len(words)] = words GROUP BY ALL"""
+
+
+def filled_sql(ents: str) -> str:
+    """Steps that add the free occurrences of the names in table ``ents``: ``added``."""
+    return f"""met AS ({occurrences_sql(ents)}
+), kinds AS (SELECT id, name, type FROM (SELECT id, name, type, count(*) AS n, min(s) AS first FROM {ents} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY n DESC, first) = 1
+), firsts AS (SELECT id, name, len(string_split(name, ' ')) AS n, min(s) AS first FROM {ents} GROUP BY ALL
+), held AS (SELECT DISTINCT id, CAST(unnest(range(s, e + 1)) AS INTEGER) AS pos FROM {ents}
+), busy AS (SELECT id, list(pos) AS busy FROM held GROUP BY id
+), spots AS (SELECT met.id, met.name, type, n, first, unnest(spots) AS s FROM met JOIN firsts ON firsts.id = met.id AND firsts.name = met.name JOIN kinds ON kinds.id = met.id AND kinds.name = met.name
+), open_ AS (SELECT spots.*, row_number() OVER (PARTITION BY id ORDER BY n DESC, first, s) AS k FROM spots WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.id = spots.id AND held.pos BETWEEN s AND s + n - 1)
+), walk AS ((SELECT id, CAST(0 AS BIGINT) AS k, list_transform(busy, lambda x: CAST(x AS BIGINT)) AS busy, false AS free FROM busy) UNION ALL (SELECT o.id, o.k, CASE WHEN list_has_any(busy, range(s, s + n)) THEN busy ELSE list_concat(busy, range(s, s + n)) END, NOT list_has_any(busy, range(s, s + n))
+  FROM walk JOIN open_ o ON o.id = walk.id AND o.k = walk.k + 1)
+), added AS (SELECT o.id, name, type, s, CAST(s + n - 1 AS INTEGER) AS e FROM walk JOIN open_ o ON o.id = walk.id AND o.k = walk.k WHERE free)"""
+
+
+#: Names stand in the order of their start and never overlap, so each has a place behind the one before.
+@query(f"""WITH RECURSIVE {RESP}, named AS (SELECT pred.*, row_number() OVER (PARTITION BY id ORDER BY s) AS k FROM pred JOIN resp USING (id) WHERE NOT broken
+), where_ AS ({occurrences_sql("named")}
+), asked AS (SELECT named.id, k, named.name, type, len(string_split(named.name, ' ')) AS n, spots FROM named JOIN where_ ON where_.id = named.id AND where_.name = named.name
+), put_ AS ((SELECT id, k, name, type, CAST(spots[1] AS INTEGER) AS s, CAST(spots[1] + n - 1 AS INTEGER) AS e FROM asked WHERE k = 1) UNION ALL (SELECT a.id, a.k, a.name, a.type, CAST(list_filter(spots, lambda i: i > e)[1] AS INTEGER), CAST(list_filter(spots, lambda i: i > e)[1] + n - 1 AS INTEGER)
+  FROM put_ JOIN asked a ON a.id = put_.id AND a.k = put_.k + 1)
+), placed AS (SELECT id, name, type, s, e FROM put_), {filled_sql("placed")}
+  SELECT * FROM placed UNION ALL SELECT * FROM added""")
 def align_entities(b: Base) -> DataFrame:
     rows = b.sents.join(b.responses, "id")
     return _spans(rows, align.align_udf("tokens", parsing.parse_json(F.col("as_json")), "sentence"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PRED}, {filled_sql('pred')} SELECT id, name, type, s, e FROM pred UNION ALL SELECT * FROM added")
 def fill_duplicates(b: Base) -> DataFrame:
     return _spans(_lists(b), align.fill_repeats_udf("tokens", "ents"))
 
 
-@query()
+@query(rf"""WITH {PRED}, squeezed AS (SELECT id, sentence, lower(replace(sentence, ' ', '')) AS flat, list_filter(range(1, length(sentence) + 1), lambda i: chars[i] <> ' ') AS places, chars FROM (SELECT *, string_split(sentence, '') AS chars FROM sent)
+), asked AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS INTEGER) AS place, upper(replace(name, 'ß', 'SS')) AS name, lower(replace(upper(replace(name, 'ß', 'SS')), ' ', '')) AS wanted, type FROM pred
+), met AS (SELECT asked.*, sentence, chars, places, CASE WHEN length(flat) = len(places) THEN instr(flat, wanted) ELSE 0 END AS hit, array_to_string(list_filter(string_split(name, ''), lambda c: contains(sentence, c)), '') AS known FROM asked JOIN squeezed USING (id)
+), found AS (SELECT id, place, type, CASE WHEN trim(name) = '' THEN NULL WHEN contains(sentence, name) THEN trim(name) WHEN hit > 0 THEN array_to_string(chars[places[hit]:places[hit + length(wanted) - 1]], '')
+  WHEN trim(known) <> '' AND contains(sentence, known) AND NOT contains({MARKS}, known) THEN trim(known) END AS name FROM met)
+  SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS INTEGER) AS n, name, type FROM found WHERE name IS NOT NULL""")
 def fuzzy_remap(b: Base) -> DataFrame:
     named = F.transform("ents", lambda x: F.struct(F.upper(x["name"]).alias("name"), x["type"].alias("type")))
     return _lists(b).select("id", F.posexplode(align.respelled_udf(named, "sentence")).alias("n", "x")).select("id", "n", "x.name", "x.type")
@@ -460,7 +497,14 @@ def merge_reflection(b: Base) -> DataFrame:
     return _spans(all_, align.merge_tokens_udf("tokens", "ents", proposed, "candidates", "spans"))
 
 
-@query()
+@query(f"""WITH {PRED}, marks AS (SELECT id, s, e, name, type, list(token) AS marks FROM ({ORACLES["boundary_tokens"]}) GROUP BY ALL
+), asked AS (SELECT marks.*, ent.name AS new, ent.type AS kind, string_split(ent.name, ' ') AS words, tokens FROM marks JOIN sent ON sent.id = marks.id LEFT JOIN ent ON ent.id = marks.id AND ent.s = marks.s
+), placed AS (SELECT *, len(words) AS n, list_has_any(string_split(name, ' '), marks) AS old_touch, list_has_any(words, marks) AS new_touch,
+    list_filter(range(greatest(s - len(words) + 1, 0), least(e, len(tokens) - len(words)) + 1), lambda i: tokens[i + 1:i + len(words)] = words)[1] AS spot FROM asked
+), moved AS (SELECT *, coalesce(new <> name AND (old_touch OR new_touch) AND spot IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM pred o WHERE o.id = placed.id AND (o.s <> placed.s OR o.e <> placed.e) AND o.s < spot + n AND o.e >= spot), false) AS moves FROM placed)
+  SELECT id, CASE WHEN moves THEN new ELSE name END AS name, CASE WHEN moves THEN kind ELSE type END AS type, CAST(CASE WHEN moves THEN spot ELSE s END AS INTEGER) AS s, CAST(CASE WHEN moves THEN spot + n - 1 ELSE e END AS INTEGER) AS e
+  FROM moved WHERE NOT (new IS NULL AND old_touch)""")
 def merge_boundary(b: Base) -> DataFrame:
     marks = boundary_tokens(b).groupBy("id", "s", "e", "name", "type").agg(F.array_sort(F.collect_list("token")).alias("marks"))
     rows = marks.join(_lists(b), "id").join(b.gold.select("id", F.col("s").alias("s"), F.col("name").alias("new"), F.col("type").alias("kind")), ["id", "s"], "left")
