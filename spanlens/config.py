@@ -12,6 +12,15 @@ TASKS = {
     "ontonotes": ("CARDINAL", "DATE", "EVENT", "FAC", "GPE", "LANGUAGE", "LAW", "LOC", "MONEY", "NORP", "ORDINAL", "ORG", "PERCENT", "PERSON", "PRODUCT", "QUANTITY", "TIME", "WORK_OF_ART"),
     "tweetner7": ("corporation", "creative_work", "event", "group", "location", "person", "product"),
 }
+#: What the prompts of a task say about its types.
+GUIDES = {
+    "ncbi": "Text: abstracts of medical articles. Disease covers single diseases, classes of diseases, syndromes, and abbreviations of any of them, also where they qualify another noun.",
+    "conll03": "Text: news. LOC: places on a map. PER: people, real or invented. ORG: companies, bodies, teams and parties. MISC: other proper names such as nationalities, events and works.",
+    "bc2gm": "Text: sentences of biomedical articles. GENE covers genes, proteins, their families, complexes and mutants, with the words that belong to their names.",
+    "ontonotes": "Text: news, talk and web pages. GPE: places with a government. LOC: other places. FAC: what people built. NORP: nationalities, religions, political groups. WORK_OF_ART: titles. LAW: named documents with legal force. "
+    "DATE is a day or longer, TIME is shorter. MONEY, PERCENT and QUANTITY include their unit; ORDINAL and CARDINAL are the other numbers. EVENT, LANGUAGE, ORG, PERSON and PRODUCT are proper names.",
+    "tweetner7": "Text: short public posts, with hashtags and account names. corporation: businesses. group: bands, teams, parties and other bodies. creative_work: titles. event: named happenings. location: places. person: people. product: named goods, services and brands.",
+}
 #: English function words that never count as evidence.
 STOP_WORDS = tuple(
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves s t d ll m o re ve y don ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn".split()
@@ -51,6 +60,10 @@ class Options:
     def types(self) -> tuple[str, ...]:
         return TASKS[self.task]
 
+    @property
+    def guide(self) -> str:
+        return GUIDES[self.task]
+
 
 #: Options that each task is run with.
 PRESETS = {

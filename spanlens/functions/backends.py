@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
+import time
+import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from spanlens.functions.models import Echo, HashEmbedding, retried
+from spanlens.functions.models import Answer, Echo, HashEmbedding, retried
 
 
 def _post(url: str, body: dict, key: str | None, timeout: float) -> dict:
@@ -41,7 +45,7 @@ class ChatServer:
     pause: float = 1.0
     timeout: float = 120.0
 
-    def _one(self, prompt: str) -> str:
+    def _one(self, prompt: str, logprobs: bool = False) -> Answer:
         body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "top_p": self.top_p, "max_tokens": self.max_tokens}
         if self.stop:
             body["stop"] = list(self.stop)
@@ -49,12 +53,50 @@ class ChatServer:
             body["response_format"] = {"type": self.response_format}
         if self.seed is not None:
             body["seed"] = self.seed
+        if logprobs:
+            body["logprobs"] = True
         key = os.environ.get(self.key_variable) if self.key_variable else None
-        return _post(f"{self.base_url}/chat/completions", body, key, self.timeout)["choices"][0]["message"]["content"]
+        choice = _post(f"{self.base_url}/chat/completions", body, key, self.timeout)["choices"][0]
+        found = (choice.get("logprobs") or {}).get("content")
+        return Answer(choice["message"]["content"], None if found is None else [x["logprob"] for x in found])
 
-    def generate(self, prompts: list[str]) -> list[str]:
+    def answers(self, prompts: list[str], logprobs: bool = True) -> list[Answer]:
         with ThreadPoolExecutor(self.threads) as pool:
-            return list(pool.map(lambda p: retried(self._one, p, tries=self.tries, pause=self.pause), prompts))
+            return list(pool.map(lambda p: retried(self._one, p, logprobs, tries=self.tries, pause=self.pause), prompts))
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [x.text for x in self.answers(prompts, logprobs=False)]
+
+
+@contextmanager
+def local_server(command: list[str], base_url: str, patience: float = 600.0, pause: float = 2.0) -> Iterator[str]:
+    """Run a model server as a process of the driver while inside, from when it answers at ``base_url``/models on.
+
+    Executors of other machines need an address of the driver in ``base_url``. A server that ends before it answers, or
+    doesn't answer within ``patience`` seconds, raises.
+    """
+    process = subprocess.Popen(command)
+    try:
+        end = time.monotonic() + patience
+        while True:
+            if process.poll() is not None:
+                raise RuntimeError(f"the server ended with code {process.returncode}")
+            try:
+                urllib.request.urlopen(f"{base_url}/models", timeout=10).close()
+                break
+            except urllib.error.HTTPError:
+                break  # it answers, if not to this
+            except OSError as e:
+                if time.monotonic() > end:
+                    raise TimeoutError(f"no answer at {base_url}") from e
+                time.sleep(pause)
+        yield base_url
+    finally:
+        process.terminate()
+        try:
+            process.wait(30)
+        except subprocess.TimeoutExpired:
+            process.kill()
 
 
 @dataclass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +16,14 @@ class EmbeddingModel(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class Answer(NamedTuple):
+    text: str
+    logprobs: list[float] | None = None  # one a token of the text
+
+
 class LanguageModel(Protocol):
+    """A model that also gives log-probabilities has ``answers`` besides: list[str] -> list[Answer]."""
+
     def generate(self, prompts: list[str]) -> list[str]: ...
 
 
@@ -41,19 +48,27 @@ def _batched(make: Callable, method: str, batch: int, sleep: float, pause: float
                     got, error = retried(getattr(model, method), part["text"].tolist(), pause=pause), None
                 except Exception as e:  # one failed batch is a column, not a failed run
                     got, error = [None] * len(part), str(e)
-                yield pd.DataFrame({"key": part["key"], "out": got, "error": error})
+                columns = {"key": part["key"], "out": got, "error": error}
+                if method == "answers":
+                    columns |= {"out": [x and x.text for x in got], "logprobs": [x and x.logprobs for x in got]}
+                yield pd.DataFrame(columns)
                 if sleep:
                     time.sleep(sleep)
 
     return run
 
 
-def generate(prompts: DataFrame, make: Callable[[], LanguageModel], batch: int = 64, sleep: float = 0.0, streams: int | None = None, pause: float = 1.0) -> DataFrame:
-    """(key, out, error) of prompts(key, text); ``streams`` bounds how many partitions call at once."""
+def generate(prompts: DataFrame, make: Callable[[], LanguageModel], batch: int = 64, sleep: float = 0.0, streams: int | None = None, pause: float = 1.0, logprobs: bool = False) -> DataFrame:
+    """(key, out, error) of prompts(key, text), with ``logprobs`` also an array of one number a token of the answer.
+
+    ``streams`` bounds how many partitions call at once.
+    """
     rows = prompts.select("key", "text")
     rows = rows.repartition(streams) if streams else rows
     schema = rows.select("key").schema.add("out", "string").add("error", "string")
-    return rows.mapInPandas(_batched(make, "generate", batch, sleep, pause), schema)
+    if logprobs:
+        schema = schema.add("logprobs", ArrayType(DoubleType()))
+    return rows.mapInPandas(_batched(make, "answers" if logprobs else "generate", batch, sleep, pause), schema)
 
 
 def embed(texts: DataFrame, make: Callable[[], EmbeddingModel], batch: int = 128, sleep: float = 0.0, pause: float = 1.0) -> DataFrame:

@@ -9,6 +9,8 @@ from spanlens.functions.text import after_marker, strip
 
 PAIR = "struct<name:string,type:string>"
 NONE = f"cast(array() as array<{PAIR}>)"
+#: Formats of the responses, which recorded answers have, too. So is the key "named entities".
+TAGGED, CODE = r"\[ (.*?) \| (.*?) \]", r'(?s)entity_list\.append\(\{"text": "(.*?)", "type": "(.*?)"\}\)'
 FINAL, UPDATED = "Final predicted entities", "Updated Predicted Entity"
 
 
@@ -38,12 +40,12 @@ def _pairs(text: Column, pattern: str) -> Column:
 
 def parse_tagged(text: Column) -> Column:
     """``[ name | type ]`` marks, each within a line."""
-    return _pairs(text, r"\[ (.*?) \| (.*?) \]")
+    return _pairs(text, TAGGED)
 
 
 def parse_code(text: Column) -> Column:
     """``entity_list.append({"text": "...", "type": "..."})`` calls."""
-    return _pairs(text, r'(?s)entity_list\.append\(\{"text": "(.*?)", "type": "(.*?)"\}\)')
+    return _pairs(text, CODE)
 
 
 def parse_reflection(text: Column) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlens.config import RARE
 from spanlens.functions.text import join_tokens
 
 SENTENCE, EXAMPLES, ENTITY = "{{input_sentence}}", "{{icl_examples}}", "{{predicted_entities}}"
@@ -53,15 +54,17 @@ def block(template: str, tokens: Column, sentence: Column, ents: Column) -> Colu
     return F.concat(F.lit("Input: "), sentence, F.lit("\nOutput: "), marked(tokens, ents) if template == "icl_tagging" else listed(ents))
 
 
-def filled(template: str, types, sentence: Column, examples: Column, predicted: Column | None = None) -> Column:
-    """The template with sentence, then examples (so braces in examples stay), put in."""
-    out = F.replace(F.lit(TEMPLATES[template].replace("{{types}}", ", ".join(types))), F.lit(SENTENCE), sentence)
+def filled(template: str, types, sentence: Column, examples: Column, predicted: Column | None = None, guide: str = "") -> Column:
+    """The template with the task's guide, the sentence, then examples (so braces in examples stay) put in."""
+    body = TEMPLATES[template].replace("{{types}}", ", ".join(types))
+    body = body.replace(f"\n\n{EXAMPLES}", f"\n{guide}\n\n{EXAMPLES}", 1) if guide else body
+    out = F.replace(F.lit(body), F.lit(SENTENCE), sentence)
     if predicted is not None:
         out = F.replace(out, F.lit(ENTITY), predicted)
     return F.replace(out, F.lit(EXAMPLES), examples)
 
 
-def icl_prompts(queries: DataFrame, demos: DataFrame, retrieved: DataFrame, template: str, types) -> DataFrame:
+def icl_prompts(queries: DataFrame, demos: DataFrame, retrieved: DataFrame, template: str, types, guide: str = "") -> DataFrame:
     """(id, icl_example_ids, icl_prompt): the k blocks of each query, best last, in its template.
 
     demos(id, tokens, sentence, ents); retrieved(qid, rank, did).
@@ -70,7 +73,7 @@ def icl_prompts(queries: DataFrame, demos: DataFrame, retrieved: DataFrame, temp
     met = retrieved.select("qid", "rank", "did").join(blocks, "did")
     rows = met.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("turn"), "did", "block"))).alias("rows"))
     out = queries.join(rows, queries.id == rows.qid)
-    return out.select("id", F.col("rows.did").alias("icl_example_ids"), filled(template, types, F.col("sentence"), F.array_join("rows.block", "\n\n")).alias("icl_prompt"))
+    return out.select("id", F.col("rows.did").alias("icl_example_ids"), filled(template, types, F.col("sentence"), F.array_join("rows.block", "\n\n"), guide=guide).alias("icl_prompt"))
 
 
 def _repr(values) -> str:
@@ -85,32 +88,35 @@ def _examples(rows) -> str:
     return "\n\n".join(dict.fromkeys(out))
 
 
+#: Headings of the evidence: of all tokens, and of one, by kind; and of an unseen token's neighbours, by role.
+HEADS = {"unseen": ("Tokens in question", "Token in question"), "fn": ("Tokens left out", "Token left out"), "boundary": ("Tokens at the edges", "Token at the edge")}
+NEAR = {"entity": "Neighbours that are often part of entities", "context": "Neighbours that often stand beside entities"}
+SEEN = {"entity": "Seen as part of an entity", "context": "Seen beside an entity", "other": "Seen elsewhere"}
+
+
 def evidence_text(kind: str, tokens: list[dict]) -> str:
     """The evidence block of one sentence (or entity).
 
     tokens: dicts with token, stats (counts or None), status (boundary only), and examples: lists of occurrences by role
     (fn, boundary) or by (role, neighbour) (unseen).
     """
-    head = "candidate_tokens" if kind == "unseen" else "fn_tokens" if kind == "fn" else "boundary_tokens"
-    parts = [f"<{head}>\n{_repr(t['token'] for t in tokens)}\n</{head}>"]
+    every, one = HEADS[kind]
+    parts = [f"{every}: {_repr(t['token'] for t in tokens)}"]
     for t in tokens:
-        tag = "candidate_token" if kind == "unseen" else "fn_token" if kind == "fn" else "boundary_token"
-        text = f"<{tag}>\n{t['token']}\n</{tag}>"
+        text = f"## {one}: {t['token']}"
         if kind == "boundary":
-            text += f"\n<status>\n{t['status']}\n</status>"
+            text += f"\nWhere it stands: {t['status']}"
         if kind == "unseen":
-            for role, name, one in (("entity", "potential_entity_tokens_around", "ent_token"), ("context", "potential_context_tokens_around", "context_token")):
+            for role, heading in NEAR.items():
                 near = [(x["neighbour"], x["rows"]) for x in t["examples"] if x["role"] == role]
                 if near:
-                    blocks = "\n\n".join(f"<{one}>\n{n}\n</{one}>\n<examples>\n{_examples(rows)}\n</examples>" for n, rows in near)
-                    text += f"\n<{name}>\n{_repr(n for n, _ in near)}\n</{name}>\n{blocks}"
-        elif t["stats"] is None or (kind == "boundary" and sum(t["stats"]) < 5):
-            text += "\n<examples>\nThis token is rare or absent in the training data, so there is no example.\n</examples>"
+                    text += f"\n{heading}: {_repr(n for n, _ in near)}"
+                    text += "".join(f"\n### {n}\n{_examples(rows)}" for n, rows in near)
+        elif t["stats"] is None or (kind == "boundary" and sum(t["stats"]) < RARE):
+            text += "\nThe labelled sentences hold it hardly or not at all, so there are no examples."
         else:
-            e, c, o = t["stats"]
-            stat = {"num_occurrences_as_entity": e, "num_occurrences_as_context_tokens": c, "num_occurrences_as_other_tokens": o, "entity_vs_context_count": f"{e} vs {c}", "entity_vs_non_entity_count": f"{e} vs {c + o}"}
-            by = {x["role"]: x["rows"] for x in t["examples"]}
-            text += f"\n<token_stat>\n{json.dumps(stat)}\n</token_stat>\n<examples>\nPositive Examples (part of entity):\n{_examples(by.get('entity', []))}\n\nHard Negative Examples (context tokens):\n{_examples(by.get('context', []))}\n\nNegative Examples (regular tokens, neither entity nor context):\n{_examples(by.get('other', []))}\n</examples>"
+            counts, by = dict(zip(SEEN, t["stats"], strict=True)), {x["role"]: x["rows"] for x in t["examples"]}
+            text += "".join(f"\n{heading}, {counts[role]} of {sum(t['stats'])} times:\n{_examples(by.get(role, []))}" for role, heading in SEEN.items())
         parts.append(text)
     return "\n\n".join(parts)
 

@@ -8,6 +8,8 @@ chat server or from recorded responses, vectors from an embedding backend or fro
 from __future__ import annotations
 
 import argparse
+import shlex
+from contextlib import nullcontext
 from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     add("--model-name")
     add("--model-url")
     add("--model-key-variable")
+    add("--model-command", help="command that starts a server at --model-url, stopped at the end")
     add("--model-seed", type=int, default=42)
     add("--temperature", type=float, default=0.0)
     add("--top-p", type=float, default=1.0)
@@ -178,10 +181,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, model
         return out
     model = model or chat(args, spark)
     path = args.prior
-    for stage in STAGES if args.stage == "chain" else (args.stage,):
-        path = run_stage(args, o, spark, stage, path, model)
-        if args.stage == "chain":
-            P.stop_at_errors(A.read_items(spark, path), stage)
+    with backends.local_server(shlex.split(args.model_command), args.model_url) if args.model_command else nullcontext():
+        for stage in STAGES if args.stage == "chain" else (args.stage,):
+            path = run_stage(args, o, spark, stage, path, model)
+            if args.stage == "chain":
+                P.stop_at_errors(A.read_items(spark, path), stage)
     return path
 
 

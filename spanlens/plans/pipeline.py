@@ -75,7 +75,7 @@ def run_icl(items: DataFrame, train: Training, retrieved: DataFrame, model: Call
     items = items.transform(before)
     asked = sentences_of(items)
     demos = train.sents.join(train.ents.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "name", "type"))).alias("ents")), "id", "left")
-    prompt = prompts.icl_prompts(asked, demos, retrieved, o.template, o.types)
+    prompt = prompts.icl_prompts(asked, demos, retrieved, o.template, o.types, o.guide)
     answers = answered(prompt.select(F.col("id").alias("key"), F.col("icl_prompt").alias("text")), model, **calls)
     out = items.drop("icl_example_ids", "icl_prompt", "llm_response", "ent_list_pred", "error").withColumn("key", F.col("id").cast("long"))
     out = out.join(prompt.withColumnRenamed("id", "key"), "key", "left").join(answers.withColumnRenamed("out", "llm_response"), "key", "left")
@@ -111,7 +111,7 @@ def run_token_reflection(items: DataFrame, train: Training, kind: str, model: Ca
     none = F.expr("cast(array() as array<struct<s:int,e:int,name:string,type:string>>)")
     listed = listed.withColumn("ents", F.coalesce("ents", none)).withColumn("spans", F.coalesce("spans", F.expr(NO_SPANS)))
     asked = listed.join(shown, "id")
-    text = prompts.filled(f"reflect_{kind}", o.types, F.col("sentence"), F.col("evidence"), F.to_json("ents"))
+    text = prompts.filled(f"reflect_{kind}", o.types, F.col("sentence"), F.col("evidence"), F.to_json("ents"), o.guide)
     answers = answered(asked.select(F.col("id").alias("key"), text.alias("text")), model, **calls)
     named = align.respelled_udf(parsing.parse_reflection(F.coalesce("out", F.lit(""))), F.col("sentence"))
     merged = asked.join(answers, asked.id == answers.key).select("id", F.col("out").alias("llm_response"), "error", align.merge_tokens_udf("tokens", "ents", named, "candidates", "spans").alias("merged"))
@@ -152,7 +152,7 @@ def run_boundary_reflection(items: DataFrame, train: Training, model: Callable |
     listed = fan.withColumn("key", F.concat_ws("_", "id", "n")).join(shown, "key", "left").join(sents, "id").join(all_, "id")
     listed = listed.join(tokens.groupBy("key").agg(F.collect_set("token").alias("marks")), "key", "left")
     one = F.struct("name", "type", "s", "e")
-    text = prompts.filled("reflect_boundary", o.types, F.col("sentence"), F.col("evidence"), F.to_json(one))
+    text = prompts.filled("reflect_boundary", o.types, F.col("sentence"), F.col("evidence"), F.to_json(one), o.guide)
     answers = answered(listed.where("evidence is not null").select("key", text.alias("text")), model, **calls)
     met = listed.join(answers, "key", "left")
     named = align.respelled_udf(parsing.parse_boundary(F.coalesce("out", F.lit(""))), F.col("sentence"))

@@ -63,3 +63,35 @@ def test_cache(spark, tmp_path):
     assert cache.fingerprint(one) == cache.fingerprint(one.orderBy("sentence", ascending=False)) != cache.fingerprint(one.limit(1))
     assert cache.retrieval_path("r", Options(), "test", "a/b", "f") != cache.retrieval_path("r", Options(), "dev", "a/b", "f")
     assert "a-b" in cache.embedding_path("r", "t", "test", "a/b", "f")
+
+
+class Scored:
+    """A model that gives log-probabilities, too."""
+
+    def answers(self, prompts):
+        return [models.Answer(p.upper(), [-0.5, -1.0]) for p in prompts]
+
+
+def test_logprobs(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "key long, text string")
+    got = sorted(map(tuple, models.generate(rows, Scored, logprobs=True).collect()))
+    assert got == [(1, "A", None, [-0.5, -1.0]), (2, "B", None, [-0.5, -1.0])]
+    failed = models.generate(rows, models.Echo, logprobs=True, pause=0.0).collect()  # Echo has none: a column of errors, not a failed run
+    assert all(r["error"] and r["out"] is None and r["logprobs"] is None for r in failed)
+
+
+def test_local_server_is_awaited_and_stopped():
+    import socket
+    import sys
+    import urllib.request
+
+    with socket.socket() as s:
+        s.bind(("127.0.0.1", 0))
+        url = f"http://127.0.0.1:{s.getsockname()[1]}"
+    with backends.local_server([sys.executable, "-m", "http.server", url.rsplit(":", 1)[1], "--bind", "127.0.0.1"], url, pause=0.1):
+        assert urllib.request.urlopen(url, timeout=5).status == 200
+    with pytest.raises(OSError):
+        urllib.request.urlopen(url, timeout=5)
+    with pytest.raises(RuntimeError):
+        with backends.local_server([sys.executable, "-c", "raise SystemExit(3)"], url, pause=0.1):
+            pass

@@ -1,8 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanlens import config
 from spanlens.config import Options
 from spanlens.functions import models
 from spanlens.functions.vectors import blocked_scores, weighted_mean
@@ -113,7 +115,7 @@ def test_prompt_blocks(spark):
     assert [r["b"] for r in lines] == ['input_text = "s"\nentity_list = []\nentity_list.append({"text": "New York", "type": "LOC"})', 'input_text = "t"\nentity_list = []']
     one = {"token": "Bank", "stats": (1, 5, 0), "status": "part of the entity", "examples": [{"role": "entity", "rows": [{"ent_span": "Bank", "ent_type": "O", "cxt": "the Bank"}] * 2}]}
     text = prompts.evidence_text("boundary", [one, {"token": "rare", "stats": None, "status": "part of the context", "examples": []}])
-    assert "['Bank', 'rare']" in text and "1 vs 5" in text and text.count("Input: the Bank") == 1 and "rare or absent" in text
+    assert "['Bank', 'rare']" in text and "1 of 6 times" in text and text.count("Input: the Bank") == 1 and "hardly or not at all" in text
 
 
 def test_templates_keep_braces_of_examples(spark):
@@ -137,3 +139,28 @@ def test_models_keep_errors_apart(spark):
     assert len(vectors) == 3 and all(len(r["out"]) == 16 for r in vectors)
     replayed = models.replay(rows, spark.createDataFrame([(1, "x")], "key long, text string")).collect()
     assert {r["key"]: r["out"] for r in replayed} == {1: "x", 2: None, 3: None}
+
+
+def test_weighted_mean_over_batches(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(9), rng.choice([0.0, 0.5, 2.0]), rng.randrange(1, 4), [rng.random() for _ in range(3)]) for _ in range(200)]
+    want = {}
+    for i in {r[0] for r in rows}:
+        own = [(w, n, v) for j, w, n, v in rows if j == i]
+        total = sum(w * n for w, n, _ in own)
+        want[i] = [sum((w * n if total else n) * v[d] for w, n, v in own) / (total or sum(n for _, n, _ in own)) for d in range(3)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = {r["id"]: r["emb"] for r in weighted_mean(spark.createDataFrame(rows, "id long, w double, n long, emb array<double>")).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_guides_go_before_the_examples(spark):
+    row = spark.createDataFrame([("s", "e")], "sentence string, examples string")
+    plain, guided = (row.select(prompts.filled("icl_json", ["T"], F.col("sentence"), F.col("examples"), guide=g)).first()[0] for g in ("", "About T."))
+    assert guided.replace("\nAbout T.", "") == plain and guided.index("About T.") < guided.index("\n\ne\n\n")
+    assert set(config.GUIDES) == set(config.TASKS)
