@@ -164,3 +164,21 @@ def test_guides_go_before_the_examples(spark):
     plain, guided = (row.select(prompts.filled("icl_json", ["T"], F.col("sentence"), F.col("examples"), guide=g)).first()[0] for g in ("", "About T."))
     assert guided.replace("\nAbout T.", "") == plain and guided.index("About T.") < guided.index("\n\ne\n\n")
     assert set(config.GUIDES) == set(config.TASKS)
+
+
+def test_token_match_in_parts_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PART", 1)
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(6))) for _ in range(60)]
+    s = sents(spark, *lines).repartition(3)
+    stats = [stat(x, i % 3, i % 2, 1) for i, x in enumerate("bcdefghij")]
+    weight = {r[0]: round(r[5] + r[6] + 0.01 * r[7], 12) for r in stats}
+    words = {i: set(x.split()) for i, x in enumerate(lines, 1)}
+    want = {(q, d): sum(weight[t] for t in words[q] & words[d] & weight.keys()) for q in range(1, 21) for d in words if q != d and words[q] & words[d] & weight.keys()}
+    find = lambda keep: retrieval.token_match(s, s.where("id <= 20"), spark.createDataFrame(stats, STATS), Options(), keep)
+    got = {(r["qid"], r["did"]): r["score"] for r in find(None).collect()}
+    assert got == pytest.approx(want)
+    best = {(r["qid"], r["rank"], r["did"]) for r in retrieval.ranked(find(3), 3).collect()}
+    assert best == {(r["qid"], r["rank"], r["did"]) for r in retrieval.ranked(spark.createDataFrame([(*k, v) for k, v in got.items()], "qid long, did long, score double"), 3).collect()}
+    text = find(None)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in text and "Join" not in text  # a join by token meets every demo of a frequent one
