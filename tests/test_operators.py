@@ -199,3 +199,17 @@ def test_marks_equal_the_plain_way(spark):
     assert "Python" not in text._jdf.queryExecution().executedPlan().toString()  # whole texts of tokens in Python take its memory
     for r in text.collect():
         assert r["b"] == f"Input: {r['sentence']}\nOutput: {prompts.tagged(r['tokens'], r['ents'] or [])}"
+
+
+def test_hashed_sentence_vectors_equal_the_joins(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PART", 64)
+    rng = random.Random(8)
+    s = sents(spark, *[" ".join(rng.choice(["Ann", "é", "of", "x", "y", "zz"]) for _ in range(rng.randrange(40))) for _ in range(300)])
+    stats = spark.createDataFrame([stat("Ann", 3, 1, 0), stat("of", 0, 2, 9), stat("x", 0, 0, 4)], STATS)
+    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(5)]) for i in range(7)], "vec_id long, embedding array<float>")
+    for o in (Options(), Options(entity_weight=0.0, context_weight=0.0, other_weight=0.0)):
+        want = {r["id"]: r["emb"] for r in retrieval.sentence_vectors(s, stats, retrieval.hashed_vocabulary(retrieval.token_rows(s), vectors), o).collect()}
+        found = retrieval.hashed_sentence_vectors(s, stats, vectors, o)
+        got = {r["id"]: r["emb"] for r in found.collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+        assert "Join" not in re.sub("array_join", "", found._jdf.queryExecution().executedPlan().toString())  # a vector for each token of a sentence was exchanged
