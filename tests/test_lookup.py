@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from spanlens.config import Options
 from spanlens.operators import lookup, reflection, roles
 from spanlens.plans import queries as core
 
@@ -56,3 +57,54 @@ def test_boundary_rows_exchange_no_sentences(spark):
     text = plan(core.QUERIES["boundary_tokens"](spark, SF))
     exchanges = [x for x in text.splitlines() if "Exchange hashpartitioning(id" in x]
     assert not exchanges and reflection.boundary_rows is not None
+
+
+def test_only_wanted_edges_leave_their_sentence(spark):
+    rows = marked(spark, ["by Ann Lee of Bo", "é Ann", ""], {0: [(1, 2, "Ann Lee", "T"), (4, 4, "Bo", "U")], 1: [(1, 1, "Ann", "T")]})
+    bitmap = lambda *tokens: lookup.names_of(spark.createDataFrame([(x,) for x in tokens], "token string"), 2, "token", False)
+    wanted = [bitmap("of", "Ann"), bitmap("Lee", "by"), bitmap("Bo")]
+    got = {(r["id"], r["name"], r["type"], r["s"], r["e"], r["pos"], r["token"], r["edge"]) for r in lookup.edge_spots(rows, wanted).collect()}
+    assert got == {(0, "Ann Lee", "T", 1, 2, 2, "Lee", True), (0, "Ann Lee", "T", 1, 2, 3, "of", True), (0, "Bo", "U", 4, 4, 3, "of", True), (0, "Bo", "U", 4, 4, 4, "Bo", True)}
+    assert lookup.edge_spots(rows, None).count() == 8
+
+
+def random_sentences(spark, seed):
+    rng = random.Random(seed)
+    words = ["Ann", "An", "Lee", "é", "of", "B", "the", ",", "Anna"]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(14))) for _ in range(120)]
+
+    def some(longest):
+        out = {}
+        for i, x in enumerate(lines):
+            n, t = len(x.split()), x.split()
+            spans = {(s, min(n - 1, s + rng.randrange(longest))) for s in range(n) if rng.random() < 0.3}
+            out[i] = [(s, e, " ".join(t[s : e + 1]), "TU"[e % 2]) for s, e in sorted(spans)]
+        return out
+
+    return marked(spark, lines, some(2)), marked(spark, lines, some(3))
+
+
+def plain_parts(labels, pred):
+    """What the operators over tables take: sentences, entities, labelled names, all tokens with statistics, counts."""
+    sents = labels.select("id", "ord", "tokens", "sentence")
+    ents = pred.select("id", F.explode("ents").alias("x")).select("id", "x.s", "x.e", "x.name", "x.type")
+    labelled = labels.select("id", F.explode("ents").alias("x")).select("x.name", "id", "x.s", "x.e", "x.type")
+    stats = roles.token_stats(roles.role_rows(labels))
+    free = roles.unlabelled_spans(sents, labelled, roles.token_sources(roles.role_rows(labels)))
+    return sents, ents, labelled, stats, roles.span_counts(labelled, free)
+
+
+def test_boundary_rows_equal_the_plain_way(spark):
+    labels, pred = random_sentences(spark, 7)
+    sents, ents, labelled, stats, counts = plain_parts(labels, pred)
+    seen = stats.where("token <> 'é'")
+    for o in (Options(), Options(ignore_article=True), Options(include_unseen_boundary=True), Options(ignore_rare=True), Options(process_abbrev="only")):
+        tokens = reflection.annotated_tokens(sents, ents, seen)
+        plain = reflection.boundary_tokens(ents, tokens, counts, reflection.fp_tokens(tokens, o), o)
+        own = reflection.boundary_rows(pred.drop("cover"), seen, labels.drop("cover"), labelled, o)
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, plain.select(own.columns).collect())) != []
+
+
+def test_boundary_spots_meet_counts_without_their_lists(spark):
+    exchanges = [x for x in plan(core.QUERIES["boundary_tokens"](spark, SF)).splitlines() if "spots" in x]
+    assert not exchanges
