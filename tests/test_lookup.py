@@ -1,7 +1,9 @@
 """What the rows of a sentence give by themselves, without exchanges of tokens or pairs of names and sentences."""
 
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanlens.config import Options
@@ -108,3 +110,27 @@ def test_boundary_rows_equal_the_plain_way(spark):
 def test_boundary_spots_meet_counts_without_their_lists(spark):
     exchanges = [x for x in plan(core.QUERIES["boundary_tokens"](spark, SF)).splitlines() if "spots" in x]
     assert not exchanges
+
+
+def test_what_a_full_bitmap_lets_through_is_text(spark):
+    full = lookup.Names(np.full(2**lookup.BITS >> 6, 2**64 - 1, dtype=np.uint64), np.arange(1, 5))
+    got = {r["name"] for r in lookup.named_starts(marked(spark, ["é ñé", "aé"], {}), full).collect()}
+    assert {"é", "é ", "ñ", "ñé"} & got == {"é", "é ", "ñé"} and "aé" in got
+
+
+def test_missed_forms_equal_the_plain_way(spark):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice(["Zed", "Zedé", "of", "the", "B"]) for _ in range(rng.randrange(14))) for _ in range(60)]
+    runs = {i: [(m.start(), m.group()) for m in re.finditer(r"Zedé?( Zedé?)*", x)] for i, x in enumerate(lines)}
+    gold = {i: [(x[:at].count(" "), x[: at + len(m)].count(" "), m, "TU"[len(m) % 2]) for at, m in runs[i]] for i, x in enumerate(lines)}
+    labels, pred = marked(spark, lines, gold), marked(spark, lines, {i: [x for x in xs if rng.random() < 0.5] for i, xs in gold.items()})
+    sents, ents, labelled, stats, counts = plain_parts(labels, pred)
+    for o in (Options(), Options(process_abbrev="only")):
+        plain = reflection.fn_span_candidates(reflection.annotated_tokens(sents, ents, stats), sents, labelled, counts, o)
+        own = reflection.fn_span_rows(pred.drop("cover"), labels.drop("cover"), labelled, o)
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, plain.select(own.columns).collect())) != []
+
+
+def test_missed_forms_are_found_in_one_pass_behind_the_cached_forms(spark):
+    text = plan(core.QUERIES["fn_span_candidates"](spark, SF))
+    assert "InMemoryTableScan" in text and "HashAggregate" not in text.split("InMemoryRelation")[0]
